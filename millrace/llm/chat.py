@@ -29,7 +29,7 @@ def _rendered(turns: str) -> str:
 
 def _spans(turns: str) -> str:
     """From and to (code points in the completion) of each assistant turn's text and end mark: what is trained on."""
-    ends = f"aggregate({_rendered(turns)}, cast(array() as array<int>), (a, s) -> concat(a, array(coalesce(element_at(a, -1), 0) + length(s))))"
+    ends = f"aggregate({_rendered(turns)}, cast(array() as array<int>), (a, s) -> concat(a, array(coalesce(try_element_at(a, -1), 0) + length(s))))"
     pairs = f"zip_with({turns}, {ends}, (t, e) -> if(t.role = '{ASSISTANT}', struct(cast(e - length(t.text) - {len(CLOSE)} as long) as start, cast(e as long) as stop), null))"
     return f"filter({pairs}, x -> x is not null)".replace("\n", "\\n")
 
