@@ -29,7 +29,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 #: Normalised lines of the column text: lower case, runs of white space one space, runs of digits one 0.
 _LINES = r"split(regexp_replace(lower(regexp_replace(text, '[ \\t\\x0B\\f\\r]+', ' ')), '[0-9]+', '0'), '\n')"
 _KEY = "xxhash64(host, trim(l))"
-_WORDS_OF_LINE = "length(l) - length(replace(trim(l), ' ', '')) - (length(l) - length(trim(l))) + 1"
+_WORDS_OF_LINE = "length(trim(l)) - length(replace(trim(l), ' ', '')) + 1"
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
@@ -96,19 +96,19 @@ def apply_rules(docs: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
 
     A column n_chars is set anew where lines were taken out. Rows without text are never kept.
     """
-    lines = removed_lines(docs, frequent_lines(docs, line_docs)).groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("_gone"), F.sum("words").cast("long").alias("_words"))
+    lines = removed_lines(docs, frequent_lines(docs, line_docs)).groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("__mr_gone"), F.sum("words").cast("long").alias("__mr_words"))
     base = base_counts(docs).select("doc_id", "text_key", "n_words", "n_repeat_words").distinct()
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    judged = base.join(lines, base["doc_id"].eqNullSafe(lines["doc_id"]) & (base["text_key"] == lines["text_key"]), "left").select(base["*"], "_gone", F.coalesce("_words", F.lit(0)).alias("_words"))
-    left = F.col("n_words") - F.col("_words")
-    depleted = F.col("_gone").isNotNull() & ((left < MIN_WORDS) | (left < LEFT_SHARE * F.col("n_words")))
-    good = judged.where(~failed & ~depleted).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text_key"), "_gone")
-    marked = docs.withColumn("_key", F.xxhash64(_source(docs), F.coalesce(docs["text"].cast("string"), F.lit(""))))
-    joined = marked.join(good, marked["doc_id"].cast("long").eqNullSafe(good["_doc"]) & (marked["_key"] == good["_text_key"]))
-    text = F.expr(r"if(_gone is null, text, array_join(filter(split(text, '\n'), (l, i) -> not array_contains(_gone, i)), '\n'))")
+    judged = base.join(lines, base["doc_id"].eqNullSafe(lines["doc_id"]) & (base["text_key"] == lines["text_key"]), "left").select(base["*"], "__mr_gone", F.coalesce("__mr_words", F.lit(0)).alias("__mr_words"))
+    left = F.col("n_words") - F.col("__mr_words")
+    depleted = F.col("__mr_gone").isNotNull() & ((left < MIN_WORDS) | (left < LEFT_SHARE * F.col("n_words")))
+    good = judged.where(~failed & ~depleted).select(F.col("doc_id").alias("__mr_doc"), F.col("text_key").alias("__mr_text_key"), "__mr_gone")
+    marked = docs.withColumn("__mr_key", F.xxhash64(_source(docs), F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    joined = marked.join(good, marked["doc_id"].cast("long").eqNullSafe(good["__mr_doc"]) & (marked["__mr_key"] == good["__mr_text_key"]))
+    text = F.expr(r"if(__mr_gone is null, text, array_join(filter(split(text, '\n'), (l, i) -> not array_contains(__mr_gone, i)), '\n'))")
     out = {"text": text}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+        out["n_chars"] = F.when(F.col("__mr_gone").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
     return joined.select(*(out[c].alias(c) if c in out else marked[c] for c in docs.columns))
 
 

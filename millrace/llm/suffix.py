@@ -408,7 +408,7 @@ def without(raw: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 
 def _with_places(docs: DataFrame) -> DataFrame:
-    """docs with a column _places: the later windows of each row's document (null: none)."""
+    """docs with a column __mr_places: the later windows of each row's document (null: none)."""
     spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = written(_scan(docs, buckets, _hot_anchors(docs)).repartition("bucket").mapInArrow(_meet, "doc long, place long, anchor long"), "places")
@@ -417,9 +417,9 @@ def _with_places(docs: DataFrame) -> DataFrame:
     cut = texts.join(asked, "doc").select("doc", "text", "asked").mapInArrow(_cut, "anchor long, doc long, start long, bytes binary")
     found = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_collections, "doc long, place long")
     every = met.where("anchor is null").select("doc", "place").unionAll(found)
-    lists = every.groupBy("doc").agg(F.collect_list("place").alias("_places")).withColumnRenamed("doc", "_doc")
-    keyed = docs.withColumn("_key", F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)))
-    return keyed.join(lists, keyed["_key"] == lists["_doc"], "left").drop("_key", "_doc")
+    lists = every.groupBy("doc").agg(F.collect_list("place").alias("__mr_places")).withColumnRenamed("doc", "__mr_doc")
+    keyed = docs.withColumn("__mr_key", F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)))
+    return keyed.join(lists, keyed["__mr_key"] == lists["__mr_doc"], "left").drop("__mr_key", "__mr_doc")
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -440,7 +440,7 @@ def removals(docs: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_places(doc_text(docs)).select("doc_id", "text", "_places").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_places(doc_text(docs)).select("doc_id", "text", "__mr_places").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removed_texts(docs: DataFrame) -> DataFrame:
@@ -462,8 +462,8 @@ def removed_texts(docs: DataFrame) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     joined = _with_places(docs)
-    kept = joined.withColumn("_kept", F.when(F.col("_places").isNull(), F.col("text")).otherwise(keep("text", "_places")))
-    out = {"text": F.col("_kept")}
+    kept = joined.withColumn("__mr_kept", F.when(F.col("__mr_places").isNull(), F.col("text")).otherwise(keep("text", "__mr_places")))
+    out = {"text": F.col("__mr_kept")}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_places").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast(docs.schema["n_chars"].dataType))
+        out["n_chars"] = F.when(F.col("__mr_places").isNull(), F.col("n_chars")).otherwise(F.length("__mr_kept").cast(docs.schema["n_chars"].dataType))
     return kept.select(*((out[c].alias(c)) if c in out else F.col(c) for c in docs.columns))
