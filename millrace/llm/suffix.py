@@ -32,7 +32,7 @@ WINDOW = SPAN - GRAM + 1
 #: Bytes hashed together; a longer text is read in overlapping parts.
 PART = 1 << 18
 #: Pieces in one collection, as far as one anchor has no more.
-COLLECTION = 3000
+COLLECTION = 1000
 #: Bytes of a collection's files up to which they stay in memory.
 FILE_MEMORY = 8 << 20
 #: An anchor with over one in HOT_SHARE of all pieces of the sample is hot: there are at most HOT_SHARE.
@@ -236,87 +236,113 @@ def _places(doc: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor: np.
 
 
 class ColumnFile:
-    """One array of a collection, read and written from end to end; in memory while it is small."""
+    """One array of a collection, read and written from end to end; small ones stay in memory."""
 
     def __init__(self, kind: str):
-        self.kind, self.file = kind, tempfile.SpooledTemporaryFile(max_size=FILE_MEMORY)
+        self.kind, self.held, self.file = np.dtype(kind), None, None
 
     def put(self, values: np.ndarray) -> None:
-        self.file.write(values.astype(self.kind, copy=False).tobytes())
+        """What is read next; the old file goes."""
+        self.close()
+        values = values.astype(self.kind, copy=False)
+        if values.nbytes <= FILE_MEMORY:
+            self.held = values
+        else:
+            self.file = tempfile.TemporaryFile()
+            values.tofile(self.file)
 
     def get(self) -> np.ndarray:
+        if self.file is None:
+            return self.held
         self.file.seek(0)
-        return np.frombuffer(self.file.read(), self.kind)
+        return np.fromfile(self.file, self.kind)
 
     def close(self) -> None:
-        self.file.close()
+        if self.file is not None:
+            self.file.close()
+        self.held = self.file = None
 
 
 def collection_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """String number, suffix length and common prefix with the suffix before, of all non-empty suffixes in order.
 
     Strings end in marks that differ, in their order, and come before all bytes. Round j inserts the suffix of
-    length j of every string that has one. The symbol before a suffix stands at its place in the transform, and
-    the place of the longer suffix among all is that symbol's place when the transform is sorted stably. Its
-    common prefix with a neighbour of the same first symbol is one more than the least common prefix between
-    the two in the transform. Common prefixes count up to 255. Each round reads the files of the round before
-    and writes new ones, in order.
+    length j of every string that has one. The transform is kept as the places of each symbol in order (its
+    stable sort), which only shifts when suffixes are inserted: the place of the suffix that a symbol begins is
+    the symbol's own place in that sort. A new suffix shares with its neighbour of the same first symbol one more
+    than the least common prefix between the two symbols' places. Common prefixes count up to 255. Each round
+    reads the files of the round before from end to end and writes new ones.
     """
     m = len(strings)
     size = np.array([len(s) for s in strings], dtype=np.int64)
     joined = np.frombuffer(b"".join(strings), np.uint8)
     ends = np.cumsum(size)
-    # Round 0: the marks alone; before each stands the string's last byte. Bytes count from 1, 0 is the mark.
-    symbol = np.where(size > 0, joined[np.maximum(ends - 1, 0)].astype(np.int64) + 1 if len(joined) else 0, 0).astype(np.uint8 if not len(joined) or joined.max() < 255 else np.uint16)
-    kinds = (symbol.dtype.str, "<u4", "u1", "u1")
-    files = [ColumnFile(k) for k in kinds]
-    for f, x in zip(files, (symbol, np.arange(m), np.zeros(m), np.zeros(m)), strict=True):
+    # Symbols count from 1; 0 is the mark.
+    symbols = np.concatenate(([0], joined.astype(np.int64) + 1))
+    small = m + len(joined) < 1 << 23
+    bits, wide = (23, "<u4") if small else (40, "<u8")
+    low = (1 << bits) - 1
+    # Number of the string and length of the suffix in one number, too.
+    shift, named = (8, "<u4") if size.max(initial=0) < 256 and m < 1 << 24 else (32, "<u8")
+    symbol = symbols[np.where(size > 0, ends, 0)]
+    keys = np.sort(symbol << bits | np.arange(m))
+    files = [ColumnFile(k) for k in (wide, named, "u1")]
+    for f, x in zip(files, (keys, np.arange(m) << shift, np.zeros(m)), strict=True):
         f.put(x)
-    newest = np.flatnonzero(size > 0)  # places of the suffixes of the round before that go on
+    newest = np.flatnonzero(size > 0)  # places of the suffixes of the round before that go on, and their strings
+    own, at = newest, np.searchsorted(keys, symbol[newest] << bits | newest)
     for j in range(1, int(size.max(initial=0)) + 1):
-        bwt, owner, length, common = (f.get() for f in files)
-        order = np.argsort(bwt, kind="stable")
-        marks = int(np.count_nonzero(bwt == 0))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        k = place[newest]
-        to = k - marks + m  # after the m marks alone come the suffixes, by first symbol
-        own = owner[newest]
-        after = np.where(size[own] > j, joined[np.maximum(ends[own] - j - 1, 0)].astype(np.int64) + 1, 0)
-        sorted_bwt = bwt[order]
-        here = bwt[newest]
-
-        def between(low: np.ndarray, high: np.ndarray, common: np.ndarray = common) -> np.ndarray:
-            """The least of common[low + 1 .. high], one more, 255 at most."""
-            edges = np.empty(2 * len(low), np.int64)
-            edges[0::2], edges[1::2] = low + 1, high + 1
-            least = np.minimum.reduceat(np.append(common, np.uint8(0)), edges)[0::2]
-            return np.minimum(least, 254) + 1
-
-        before = np.zeros(len(k), np.uint8)
-        has = (k > 0) & (sorted_bwt[k - 1] == here)
-        before[has] = between(order[k[has] - 1], newest[has])
-        last = len(order) - 1
-        has = (k < last) & (sorted_bwt[np.minimum(k + 1, last)] == here)
-        follows = np.zeros(len(k), np.uint8)
-        follows[has] = between(newest[has], order[k[has] + 1])
-        n = len(bwt) + len(k)
-        old = np.ones(n, bool)
+        keys, name, common = (f.get() for f in files)
+        marks = int(np.searchsorted(keys, keys.dtype.type(1 << bits)))
+        to = at - marks + m  # after the m marks alone come the suffixes, by first symbol
+        here, last = keys[at], len(keys) - 1
+        tail = np.append(common, np.uint8(0))
+
+        def between(first: np.ndarray, stop: np.ndarray, tail: np.ndarray = tail) -> np.ndarray:
+            """The least common prefix at first + 1 .. stop, one more, 255 at most."""
+            edges = np.empty(2 * len(first), np.int64)
+            edges[0::2], edges[1::2] = first + 1, stop + 1
+            return np.minimum(np.minimum.reduceat(tail, edges)[0::2], 254) + np.uint8(1)
+
+        one, two = keys[np.maximum(at - 1, 0)], keys[np.minimum(at + 1, last)]
+        has = (at > 0) & (one >> bits == here >> bits)
+        before = np.zeros(len(at), np.uint8)
+        if has.any():
+            before[has] = between((one[has] & low).astype(np.int64), newest[has])
+        has = (at < last) & (two >> bits == here >> bits)
+        follows = between(newest[has], (two[has] & low).astype(np.int64)) if has.any() else None
+        old = np.ones(len(name) + len(to), bool)
         old[to] = False
-        for f, x, new, kind in zip(files, (bwt, owner, length, common), (after, own, np.full(len(k), min(j, 255)), before), kinds, strict=True):
-            merged = np.empty(n, kind)
-            merged[old] = x
-            merged[to] = new
-            if f is files[3]:
-                merged[to[has] + 1] = follows[has]
-            f.close()
-            f.__init__(kind)
-            f.put(merged)
-        newest = to[after > 0]
-    _, owner, length, common = (f.get() for f in files)
+
+        def merge(x: np.ndarray, new: np.ndarray, old: np.ndarray, places: np.ndarray) -> np.ndarray:
+            out = np.empty(len(old), x.dtype)
+            out[old] = x
+            out[places] = new
+            return out
+
+        prefixes = merge(common, before, old, to)
+        if follows is not None:
+            prefixes[to[has] + 1] = follows
+        names = merge(name, (own << shift) + j, old, to)
+        # Old symbols move to their suffixes' new places; those before the new suffixes come in.
+        moved = np.flatnonzero(old).astype(keys.dtype).take((keys & keys.dtype.type(low)).astype(np.int64))
+        moved |= keys & keys.dtype.type(~low & ((1 << 8 * keys.itemsize) - 1))
+        after = symbols[np.where(size[own] > j, ends[own] - j, 0)]
+        new = (after << bits | to).astype(keys.dtype)
+        rank = np.argsort(new)
+        spot = np.empty(len(new), np.int64)
+        spot[rank] = np.searchsorted(moved, new[rank]) + np.arange(len(new))
+        old = np.ones(len(old), bool)
+        old[spot] = False
+        for f, x in zip(files, (merge(moved, new, old, spot), names, prefixes), strict=True):
+            f.put(x)
+        on = after > 0
+        newest, own, at = to[on], own[on], spot[on]
+    _, name, common = (f.get() for f in files)
     for f in files:
         f.close()
-    return owner[m:].astype(np.int64), length[m:].astype(np.int64), common[m:].astype(np.int64)
+    name = name[m:].astype(np.int64)
+    return name >> shift, name & ((1 << shift) - 1), common[m:].astype(np.int64)
 
 
 def later_windows(strings: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
