@@ -97,13 +97,18 @@ def infer_columns(rows: Iterable[Iterable[str | None]], width: int) -> list[str]
 
 
 def parse_timestamp(text: Column) -> Column:
-    """A text as timestamp, null where no shape fits."""
-    s = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
-    s = F.regexp_replace(s, r"^[A-Za-z]+, ", "")  # a weekday
+    """A text as timestamp, null where no shape fits. Years of two digits are from 1970 to 2069."""
+    whole = F.regexp_replace(text, r"^\s+|\s+$", "")
+    s = F.regexp_replace(whole, r"^[A-Za-z]+, ", "")  # a weekday
     cut = F.regexp_replace(F.regexp_replace(s, r"(, [A-Z]{3,4}| GMT| UTC)$", ""), "Z$", "+00:00")
-    tries = [F.when(s.rlike(f"^({shape})$") | cut.rlike(f"^({shape})$"), F.try_to_timestamp(cut, F.lit(pattern))) for shape, pattern in DATES[1:]]
     # The first shape is Spark's own.
     iso = F.when(cut.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d.*)?$"), cut.try_cast("timestamp"))
+    tries = []
+    for shape, pattern in DATES[1:]:
+        t = F.try_to_timestamp(cut, F.lit(pattern))
+        if "yy" in pattern:
+            t = F.when(F.year(t) >= 2070, t - F.make_interval(F.lit(100))).otherwise(t)
+        tries.append(F.when(whole.rlike(f"^({shape})$"), t))
     return F.coalesce(iso, *tries)
 
 

@@ -129,12 +129,13 @@ def _neighbours_predict(m: Fitted, spark: SparkSession, df: DataFrame) -> DataFr
 
 
 def _boost_predict(m: Fitted, spark: SparkSession, df: DataFrame) -> DataFrame:
-    total = F.array(*(F.lit(0.0) for _ in m.labels))
+    totals = [F.lit(0.0) for _ in m.labels]
     for i, a in enumerate(m.state["alphas"]):
         got = storage.model_from_bytes(spark, m.parts[f"model{i}"]).transform(df)
         df = got.withColumn(f"__vote{i}", F.col("prediction")).drop("prediction", "rawPrediction", "probability")
-        total = F.transform(total, lambda v, k, a=a, i=i: v + F.when(F.col(f"__vote{i}") == k, F.lit(a)).otherwise(0.0))
-    return df.withColumn(PREDICTED, (F.array_position(total, F.array_max(total)) - 1).cast("double"))
+        totals = [t + F.when(F.col(f"__vote{i}") == k, F.lit(a)).otherwise(0.0) for k, t in enumerate(totals)]
+    votes = F.array(*totals)
+    return df.withColumn(PREDICTED, (F.array_position(votes, F.array_max(votes)) - 1).cast("double"))
 
 
 def fourier(df: DataFrame, w: np.ndarray, b: np.ndarray) -> DataFrame:
@@ -317,10 +318,12 @@ def _logistic_cv_fit(spark, df, classes):
     return "pipeline", {"model": PipelineModel([best])}, {}
 
 
-def _calibrated(n: int) -> list:
-    svm = C.LinearSVC(featuresCol=FEATURES, labelCol=LABEL, predictionCol="__guess", rawPredictionCol="__score")
-    base = svm if n <= 2 else C.OneVsRest(classifier=C.LinearSVC(featuresCol=FEATURES, labelCol=LABEL), featuresCol=FEATURES, labelCol=LABEL, predictionCol="__guess", rawPredictionCol="__score")
-    return [base, C.LogisticRegression(featuresCol="__score", labelCol=LABEL)]
+def _calibrated(spark, df, classes):
+    """Linear machines, and a logistic regression on their margins."""
+    svm = _c(C.LinearSVC)
+    base = one_vs_rest(svm, classes).fit(df).setPredictionCol("__guess").setRawPredictionCol("__score")
+    platt = C.LogisticRegression(featuresCol="__score", labelCol=LABEL).fit(base.transform(df))
+    return "pipeline", {"model": PipelineModel([base, platt])}, {}
 
 
 def _bayes(kind: str) -> Trainer:
@@ -354,7 +357,7 @@ TRAINERS: dict[str, Trainer] = {
     "NearestCentroid": _centroids,
     "PassiveAggressive": spark_trainer(lambda n: one_vs_rest(_c(C.LinearSVC, regParam=0.01), n)),
     "Perceptron": _perceptron,
-    "ProbabilityCalibration": spark_trainer(_calibrated),
+    "ProbabilityCalibration": _calibrated,
     "RandomForest": spark_trainer(lambda n: _c(C.RandomForestClassifier, numTrees=50, maxDepth=10, seed=1)),
     "RidgeCV": ridge([0.1, 1.0, 10.0]),
     "Ridge": ridge([1.0]),

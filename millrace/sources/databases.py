@@ -232,7 +232,7 @@ class AsterixDBSource(Operator):
     def url(self) -> str:
         return f"http://{self.host}:{19002 if self.port == 'default' else int(self.port)}/query/service"
 
-    def name(self) -> str:
+    def dataset(self) -> str:
         return f"{identifier(self.database)}.{identifier(self.table)}"
 
     def conditions(self) -> list[str]:
@@ -262,7 +262,7 @@ class AsterixDBSource(Operator):
         return out
 
     def statement(self, columns: list[str]) -> str:
-        q = f"SELECT {', '.join(columns)} FROM {self.name()} WHERE {' AND '.join(['1 = 1', *self.conditions()])}"
+        q = f"SELECT {', '.join(columns)} FROM {self.dataset()} WHERE {' AND '.join(['1 = 1', *self.conditions()])}"
         if self.limit is not None:
             q += f" LIMIT {int(self.limit)}"
         if self.offset:

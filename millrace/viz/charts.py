@@ -645,7 +645,8 @@ class BoxViolinPlot(Chart):
         size = rows.count()
         half = (size + (1 if kind == "inclusive" else 0)) // 2 if size > 1 else size
         # Medians of the halves, as places between 0 and 1 of all values.
-        at = [(half - 1) / 2 / max(size - 1, 1), 0.5, (size - 1 - (half - 1) / 2) / max(size - 1, 1)]
+        low = (half - 1) / 2 / max(size - 1, 1) if size else 0.0
+        at = [low, 0.5, 1 - low if size > 1 else 0.0]
         q = F.percentile("v", F.array(*map(F.lit, at)))
         out = rows.agg(F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max"), n)
         return out.select("min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max", "count").where("count > 0")
