@@ -107,7 +107,8 @@ def test_suffix_with_hot_anchors_and_parts(docs, spark, monkeypatch):
 
 
 def test_suffix_repeated_rows_null_ids_and_columns(spark):
-    text = "".join(random.Random(5).choice("abcdef") for _ in range(500))
+    r = random.Random(5)
+    text = "".join(r.choice("abcdef") for _ in range(500))
     df = spark.createDataFrame([(1, text, 500, "x"), (1, text, 500, "x"), (2, text[:250] + "é" + text[250:], 501, "y"), (None, text[100:300], 200, "z")], "doc_id long, text string, n_chars int, __row string")
     got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix.removals(df).collect()}
     # The row without id is first; rows that repeat an id are one document.
