@@ -82,7 +82,8 @@ def verdicts(docs: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
     Needs doc_id and text; without source all rows are of one host, as are null sources.
     """
     removed = removed_lines(docs, frequent_lines(docs, line_docs)).groupBy("doc_id", "text_key").agg(F.sum("words").cast("long").alias("n_removed_words"), F.count("*").alias("n_removed_lines"))
-    base = base_counts(docs)
+    # Written, as a filter on the counts would be pushed down with all of their expressions, many times over.
+    base = written(base_counts(docs), "counts")
     same = base["doc_id"].eqNullSafe(removed["doc_id"]) & (base["text_key"] == removed["text_key"])
     joined = base.join(removed, same, "left").select(base["*"], *(F.coalesce(removed[c], F.lit(0)).cast("long").alias(c) for c in ("n_removed_words", "n_removed_lines")))
     left = F.col("n_words") - F.col("n_removed_words")
@@ -97,7 +98,7 @@ def apply_rules(docs: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
     A column n_chars is set anew where lines were taken out. Rows without text are never kept.
     """
     lines = removed_lines(docs, frequent_lines(docs, line_docs)).groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("__mr_gone"), F.sum("words").cast("long").alias("__mr_words"))
-    base = base_counts(docs).select("doc_id", "text_key", "n_words", "n_repeat_words").distinct()
+    base = written(base_counts(docs).select("doc_id", "text_key", "n_words", "n_repeat_words"), "counts").distinct()
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     judged = base.join(lines, base["doc_id"].eqNullSafe(lines["doc_id"]) & (base["text_key"] == lines["text_key"]), "left").select(base["*"], "__mr_gone", F.coalesce("__mr_words", F.lit(0)).alias("__mr_words"))
     left = F.col("n_words") - F.col("__mr_words")
