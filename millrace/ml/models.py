@@ -83,6 +83,10 @@ def _pipeline_predict(m: Fitted, spark: SparkSession, df: DataFrame) -> DataFram
     return storage.model_from_bytes(spark, m.parts["model"]).transform(df).withColumn(PREDICTED, F.col("prediction"))
 
 
+def _calibrated_predict(m: Fitted, spark: SparkSession, df: DataFrame) -> DataFrame:
+    return storage.model_from_bytes(spark, m.parts["model"]).transform(df).withColumn(PREDICTED, F.col("__final"))
+
+
 def _scored(m: Fitted, spark: SparkSession, df: DataFrame, score: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """PREDICTED from a numpy function of the feature matrix."""
 
@@ -155,6 +159,7 @@ def _fourier_predict(m: Fitted, spark: SparkSession, df: DataFrame) -> DataFrame
 
 PREDICTORS = {
     "pipeline": _pipeline_predict,
+    "calibrated": _calibrated_predict,
     "linear": _linear_predict,
     "constant": _constant_predict,
     "centroid": _centroid_predict,
@@ -320,10 +325,9 @@ def _logistic_cv_fit(spark, df, classes):
 
 def _calibrated(spark, df, classes):
     """Linear machines, and a logistic regression on their margins."""
-    svm = _c(C.LinearSVC)
-    base = one_vs_rest(svm, classes).fit(df).setPredictionCol("__guess").setRawPredictionCol("__score")
-    platt = C.LogisticRegression(featuresCol="__score", labelCol=LABEL).fit(base.transform(df))
-    return "pipeline", {"model": PipelineModel([base, platt])}, {}
+    base = one_vs_rest(_c(C.LinearSVC), classes).fit(df)
+    platt = C.LogisticRegression(featuresCol="rawPrediction", labelCol=LABEL, predictionCol="__final", rawPredictionCol="__logit", probabilityCol="__share").fit(base.transform(df))
+    return "calibrated", {"model": PipelineModel([base, platt])}, {}
 
 
 def _bayes(kind: str) -> Trainer:
