@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 import shutil
 import subprocess
 import tempfile
@@ -60,11 +61,11 @@ _NAMES = {
 
 
 def load(code: str) -> UserFunction:
-    """An instance of the user class that a text defines: the last one. Lines that import the runtime aren't needed."""
+    """An instance of the user class that a text defines: the last one. Lines that import all of a module (the runtime) are dropped."""
     from typing import Optional, Union
 
     space: dict[str, Any] = dict(_NAMES) | {"Optional": Optional, "Union": Union}
-    lines = [ln for ln in code.splitlines() if not ln.startswith("from pytexera")]
+    lines = [ln for ln in code.splitlines() if not re.fullmatch(r"from \w+ import \*", ln.strip())]
     exec(compile("\n".join(lines), "<user function>", "exec"), space)  # noqa: S102  running user code is this operator's purpose
     own = [v for k, v in space.items() if isinstance(v, type) and issubclass(v, UserFunction) and v not in _NAMES.values() and v is not UserFunction]
     if not own:
