@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import importance, packing, quality_rules, simhash, suffix
+from millrace.llm import importance, packing, quality_rules, shingles, suffix
 from millrace.llm.common import written
 from millrace.llm.queries import BYTES, table
 
@@ -23,8 +23,8 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the first, of each group of near copies."""
-    return simhash.keep_one(docs)
+    """One document, the first, of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return shingles.keep_one(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
