@@ -263,6 +263,20 @@ def interval_join_ts_month(spark, sf_dir):
     return out.agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
 
 
+@query("""SELECT a.event_id, a.ts, b.event_id AS "event_id#@1", b.ts AS "ts#@1" FROM events a JOIN events b ON a.ts >= b.ts AND a.ts < b.ts + INTERVAL 1 HOUR""")
+def interval_join_ts_hour_all(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "ts")
+    return run(spark, "IntervalJoin", e, e, leftAttributeName="ts", rightAttributeName="ts", constant=1, timeIntervalType="hour", includeRightBound=False)
+
+
+@query("""SELECT o.o_orderkey, o.o_orderdate, c.k FROM orders o JOIN (SELECT DISTINCT o_orderdate AS k FROM orders) c
+ON o.o_orderdate >= c.k AND o.o_orderdate <= c.k + INTERVAL 1 MONTH""")
+def interval_join_ts_month_all(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    k = o.select(F.col("o_orderdate").alias("k")).distinct()
+    return run(spark, "IntervalJoin", o, k, leftAttributeName="o_orderdate", rightAttributeName="k", constant=1, timeIntervalType="month")
+
+
 # Aggregation --------------------------------------------------------------------------------------------------------------
 
 simple(
