@@ -294,7 +294,13 @@ def agg_group_nulls(spark, sf_dir):
     return run(spark, "Aggregate", df, groupByKeys=["k"], aggregations=aggregations(("sum", "n_nationkey", "total"), ("count", "v", "n")))
 
 
-simple("agg_global", "SELECT count(o_orderkey)::INTEGER AS n, round(sum(o_totalprice), 2) AS total, min(o_orderstatus) AS x FROM orders HAVING count(*) > 0", "Aggregate", ["orders"], then=lambda df: df.select("n", F.round("total", 2).alias("total"), F.lit("F").alias("x")), aggregations=aggregations(("count", "o_orderkey", "n"), ("sum", "o_totalprice", "total")))
+@query("SELECT count(o_orderkey)::INTEGER AS n, round(sum(o_totalprice), 2) AS total, min(o_orderstatus) AS x FROM orders HAVING count(*) > 0")
+def agg_global(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    sums = run(spark, "Aggregate", orders, aggregations=aggregations(("count", "o_orderkey", "n"), ("sum", "o_totalprice", "total")))
+    # The operator's min is of numbers and times only, so the least text comes by Sort and Limit.
+    ordered = run(spark, "Sort", orders.select(F.col("o_orderstatus").alias("x")), attributes=[{"attribute": "x", "sortPreference": "ASC"}])
+    return run(spark, "CartesianProduct", sums, run(spark, "Limit", ordered, limit=1)).withColumn("total", F.round("total", 2))
 
 
 @query("SELECT count(*)::INTEGER AS n FROM nation WHERE false HAVING count(*) > 0")

@@ -35,3 +35,10 @@ def test_interval_joins_of_whole_tables(spark):
     # Every event lies in its own interval, so all of them are met on the right side.
     right = {r["event_id#@1"] for r in catalog.QUERIES["interval_join_ts_hour_all"](spark, SF).collect()}
     assert len(right) == catalog.table(spark, SF, "events").count()
+
+
+def test_global_minimum_is_computed(spark, tmp_path):
+    rows = spark.sql("SELECT 1L AS o_orderkey, 2.5D AS o_totalprice, 'P' AS o_orderstatus UNION ALL SELECT 2L, 1.25D, 'O'")
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    assert [tuple(r) for r in catalog.QUERIES["agg_global"](spark, str(tmp_path)).collect()] == [(2, 3.75, "O")]
+    assert by_spark(spark, "agg_global") == by_sql("agg_global")
