@@ -9,7 +9,7 @@ from millrace.llm.common import written
 
 #: A line that more documents of one host than this have is removed from all but the first of them.
 LINE_DOCS = 20
-#: Lines with fewer words aren't counted.
+#: Lines with fewer words aren't counted by op3_quality_rules, as its SQL has it; with 1 all lines that have a word are.
 LINE_WORDS = 4
 #: A document is depleted when less than this share of its words, or fewer words than MIN_WORDS, is left.
 LEFT_SHARE = 0.5
@@ -59,29 +59,33 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return again.select("doc_id", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"))
 
 
-def frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
+def _counted(line_words: int) -> str:
+    return f"(trim(l) <> '' and {_WORDS_OF_LINE} >= {line_words})"
+
+
+def frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS, line_words: int = LINE_WORDS) -> DataFrame:
     """key, first_doc of every line that over line_docs documents (rows) of one host have; written, so its size is known."""
-    keys = _rows(docs).select("doc_id", F.expr(f"array_distinct(transform(filter({_LINES}, l -> {_WORDS_OF_LINE} >= {LINE_WORDS}), l -> {_KEY}))").alias("keys"))
+    keys = _rows(docs).select("doc_id", F.expr(f"array_distinct(transform(filter({_LINES}, l -> {_counted(line_words)}), l -> {_KEY}))").alias("keys"))
     each = keys.select("doc_id", F.explode("keys").alias("key"))
     counted = each.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
     return written(counted.where(F.col("n") > line_docs).select("key", "first_doc"), "lines")
 
 
-def removed_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, frequent: DataFrame, line_words: int = LINE_WORDS) -> DataFrame:
     """doc_id, text_key, pos (from 0), key, words of each line that goes; repeated rows give each once."""
-    lines = _rows(docs).select("doc_id", F.expr("xxhash64(host, text)").alias("text_key"), F.expr(f"filter(transform({_LINES}, (l, i) -> struct(i as pos, {_KEY} as key, {_WORDS_OF_LINE} as words)), y -> y.words >= {LINE_WORDS})").alias("lines"))
-    each = lines.select("doc_id", "text_key", F.explode("lines").alias("y")).select("doc_id", "text_key", "y.*")
+    lines = _rows(docs).select("doc_id", F.expr("xxhash64(host, text)").alias("text_key"), F.expr(f"filter(transform({_LINES}, (l, i) -> struct(i as pos, {_KEY} as key, {_WORDS_OF_LINE} as words, {_counted(line_words)} as counted)), y -> y.counted)").alias("lines"))
+    each = lines.select("doc_id", "text_key", F.explode("lines").alias("y")).select("doc_id", "text_key", "y.pos", "y.key", "y.words")
     return each.join(frequent, "key").where(~F.col("doc_id").eqNullSafe(F.col("first_doc"))).select("doc_id", "text_key", "pos", "key", "words").distinct()
 
 
-def verdicts(docs: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
+def verdicts(docs: DataFrame, line_docs: int = LINE_DOCS, line_words: int = LINE_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, the base counts, base_failed, n_removed_words, n_removed_lines, kept.
 
     kept is false where the base rules fail, and where lines were removed and the text is depleted. All
     rows of a host whose lines are the same text keep each line only in the row of the smallest doc_id.
     Needs doc_id and text; without source all rows are of one host, as are null sources.
     """
-    removed = removed_lines(docs, frequent_lines(docs, line_docs)).groupBy("doc_id", "text_key").agg(F.sum("words").cast("long").alias("n_removed_words"), F.count("*").alias("n_removed_lines"))
+    removed = removed_lines(docs, frequent_lines(docs, line_docs, line_words), line_words).groupBy("doc_id", "text_key").agg(F.sum("words").cast("long").alias("n_removed_words"), F.count("*").alias("n_removed_lines"))
     # Written, as a filter on the counts would be pushed down with all of their expressions, many times over.
     base = written(base_counts(docs), "counts")
     same = base["doc_id"].eqNullSafe(removed["doc_id"]) & (base["text_key"] == removed["text_key"])
@@ -92,12 +96,12 @@ def verdicts(docs: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
     return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).drop("text_key")
 
 
-def apply_rules(docs: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
+def apply_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_words: int = LINE_WORDS) -> DataFrame:
     """The kept rows of docs, with their frequent lines taken out of text; all columns stay.
 
     A column n_chars is set anew where lines were taken out. Rows without text are never kept.
     """
-    lines = removed_lines(docs, frequent_lines(docs, line_docs)).groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("__mr_gone"), F.sum("words").cast("long").alias("__mr_words"))
+    lines = removed_lines(docs, frequent_lines(docs, line_docs, line_words), line_words).groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("__mr_gone"), F.sum("words").cast("long").alias("__mr_words"))
     base = written(base_counts(docs).select("doc_id", "text_key", "n_words", "n_repeat_words"), "counts").distinct()
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     judged = base.join(lines, base["doc_id"].eqNullSafe(lines["doc_id"]) & (base["text_key"] == lines["text_key"]), "left").select(base["*"], "__mr_gone", F.coalesce("__mr_words", F.lit(0)).alias("__mr_words"))
@@ -134,3 +138,6 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   n_repeat_words::BIGINT AS n_repeat_words, n_removed_words::BIGINT AS n_removed_words, n_removed_lines::BIGINT AS n_removed_lines, base_failed,
   NOT base_failed AND NOT (n_removed_lines > 0 AND (n_words - n_removed_words < 50 OR n_words - n_removed_words < 0.5 * n_words)) AS kept FROM b
 """
+
+#: The same with every line that has a word counted.
+SQL_ALL_LINES = SQL.replace("FROM m WHERE words >= 4 GROUP BY", "FROM m WHERE l <> '' GROUP BY")

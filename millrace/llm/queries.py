@@ -33,6 +33,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"), line_words=1)
+
+
 def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.records(table(spark, sf_dir, "documents"), WORDS, end_id=2)
 
@@ -61,5 +65,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_preferences, op2_simhash, op3_quality_rules, op4_records, op5_telephony, op6_suffix, op7_bpe, op8_importance, op9_packing, op10_langid)}
-ORACLE_SQL: dict[str, str] = {"op1_preferences": chat.SQL, "op3_quality_rules": quality_rules.SQL}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_preferences, op2_simhash, op3_quality_rules, op3_quality_rules_all_lines, op4_records, op5_telephony, op6_suffix, op7_bpe, op8_importance, op9_packing, op10_langid)}
+ORACLE_SQL: dict[str, str] = {"op1_preferences": chat.SQL, "op3_quality_rules": quality_rules.SQL, "op3_quality_rules_all_lines": quality_rules.SQL_ALL_LINES}
