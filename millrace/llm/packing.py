@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import doc_text, text_blocks
-from millrace.llm.tokens import encoder
+from millrace.llm.common import doc_text
+from millrace.llm.tokens import encoder, text_slices
 
 WINDOW = 2048
 #: Sequence ids of one partition start at its number times this.
 IDS_PER_PARTITION = 1 << 36
+#: Bytes of text that are encoded together, and ids that are handed on together.
+TEXT_BYTES, ROW_IDS = 8 << 20, 4 << 20
 
 
 class SquaresPacker:
@@ -59,45 +62,71 @@ class SquaresPacker:
             level[fill + item] += 1
         return window, fill
 
-    def leftovers(self) -> list[int]:
-        """Windows that aren't full, in the order of opening."""
-        return sorted(w for o in self.open for w in o)
+    def whole(self) -> int:
+        """A new window that one item fills."""
+        self.windows += 1
+        return self.windows - 1
 
 
-def pack_lengths(lengths: list[int], size: int) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (item, start, length, window, offset) of one run of items.
+#: A piece: doc_id, start and tokens of its document, offset in its window, ids as bytes.
+Piece = tuple[int | None, int, int, int, bytes]
 
-    An item longer than a window is cut into whole windows and a rest. At the end, what stands in windows
-    that aren't full is put one after the other, cut as needed, into as few windows as hold it, so that
-    only one window of the run isn't full.
+
+class WindowFiller:
+    """Cuts documents into pieces and hands each window on when it is full: (window, its pieces).
+
+    Only a document longer than a window is cut: into whole windows and a rest, which SquaresPacker places.
     """
-    packer = SquaresPacker(size)
-    pieces: list[list[int]] = []
-    for k, n in enumerate(lengths):
+
+    def __init__(self, size: int):
+        self.size, self.packer = size, SquaresPacker(size)
+        self.held: dict[int, list[Piece]] = {}
+
+    def add(self, doc_id: int | None, ids: bytes) -> Iterator[tuple[int, list[Piece]]]:
+        n, size = len(ids) // 4, self.size
         whole = n // size * size
         for at in range(0, whole, size):
-            pieces.append([k, at, size, *packer.place(size)])
+            yield self.packer.whole(), [(doc_id, at, n, 0, ids[4 * at : 4 * (at + size)])]
         if n > whole:
-            pieces.append([k, whole, n - whole, *packer.place(n - whole)])
-    loose = set(packer.leftovers())
-    done = [tuple(p) for p in pieces if p[3] not in loose]
-    names, fill, window = packer.leftovers(), 0, -1
-    for k, at, n, _, _ in sorted((p for p in pieces if p[3] in loose), key=lambda p: (p[3], p[4])):
-        while n:
-            if fill % size == 0:
-                window, fill = window + 1, 0
-            part = min(n, size - fill)
-            done.append((k, at, part, names[window], fill))
-            at, n, fill = at + part, n - part, fill + part
-    return done
+            window, offset = self.packer.place(n - whole)
+            piece = (doc_id, whole, n, offset, ids[4 * whole :])
+            if offset + n - whole == size:
+                yield window, [*self.held.pop(window, []), piece]
+            else:
+                self.held.setdefault(window, []).append(piece)
+
+    def rest(self) -> Iterator[tuple[int, list[Piece]]]:
+        """The windows that aren't full, in as few as hold them: the emptiest are taken apart to fill the others.
+
+        The pieces of the others stay where the sum of squares has put them; those of the windows taken apart
+        are cut as needed. What stays empty in all is less than a window.
+        """
+        fill = {w: sum(len(p[4]) for p in ps) // 4 for w, ps in self.held.items()}
+        order = sorted(fill, key=lambda w: (-fill[w], w))
+        keep = -(-sum(fill.values()) // self.size)
+        loose = chain.from_iterable(self.held[w] for w in order[keep:])
+        doc_id, at, n, raw = None, 0, 0, b""
+        for w in order[:keep]:
+            pieces, filled = self.held[w], fill[w]
+            while filled < self.size:
+                if not raw:
+                    doc_id, at, n, _, raw = next(loose, (None, 0, 0, 0, b""))
+                    if not raw:
+                        break
+                part = raw[: 4 * (self.size - filled)]
+                pieces.append((doc_id, at, n, filled, part))
+                at, filled, raw = at + len(part) // 4, filled + len(part) // 4, raw[len(part) :]
+            yield w, pieces
+        self.held = {}
 
 
 def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Each partition of docs packs its own rows in their order, so nothing is shuffled, a lost task packs
-    again just the same, and the only padding is in one window per partition. Null and empty texts hold
-    end_id alone; repeated rows and null doc_ids are packed like others; other columns aren't read.
+    Each partition of docs packs its own rows in their order, so nothing is shuffled, a lost task packs again
+    just the same, and what stays empty is less than one window per partition. Only the pieces of windows that
+    aren't full are held. Null and empty texts hold end_id alone; repeated rows and null doc_ids are packed like
+    others; other columns aren't read; an empty table has no rows.
     """
     return _packed(docs, path, end_id, window, with_ids=False)
 
@@ -108,42 +137,39 @@ def pack_sequences(docs: DataFrame, path: str, end_id: int, window: int = WINDOW
 
 
 def _packed(docs: DataFrame, path: str, end_id: int, window: int, with_ids: bool) -> DataFrame:
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, partition = encoder(path), TaskContext.get().partitionId()
-        doc_ids: list = []
-        encoded: list[bytes] = []
-        held = made = 0
-        for ids, texts in text_blocks(batches, 2 << 20):
-            doc_ids += ids
-            encoded += [b + end for b in tokens.block(texts)]
-            held = sum(map(len, encoded[-len(ids) :])) + held
-            if held >= RUN_BYTES:
-                out, made = _rows(doc_ids, encoded, window, partition, made, with_ids)
-                yield out
-                doc_ids, encoded, held = [], [], 0
-        if doc_ids:
-            yield _rows(doc_ids, encoded, window, partition, made, with_ids)[0]
+        tokens, first = encoder(path), TaskContext.get().partitionId() * IDS_PER_PARTITION
+        filler = WindowFiller(window)
+
+        def filled() -> Iterator[tuple[int, list[Piece]]]:
+            for doc_ids, texts in text_slices(batches, TEXT_BYTES):
+                ids, starts = tokens.column(texts, end_id)
+                raw, ends = ids.tobytes(), (4 * starts).tolist()
+                for i, a, z in zip(doc_ids.to_pylist(), ends, ends[1:], strict=False):
+                    yield from filler.add(i, raw[a:z])
+            yield from filler.rest()
+
+        rows: list[tuple] = []
+        held = 0
+        for w, pieces in filled():
+            rows += [(first + w, *p) for p in pieces]
+            held += window
+            if held >= ROW_IDS:
+                yield _batch(rows, with_ids)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows, with_ids)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return doc_text(docs).mapInArrow(run, schema)
 
 
-#: Ids of so many bytes are packed as one run; a partition with more makes several runs, one unfilled window each.
-RUN_BYTES = 48 << 20
-
-
-def _rows(doc_ids: list, encoded: list[bytes], window: int, partition: int, made: int, with_ids: bool) -> tuple[pa.RecordBatch, int]:
-    pieces = pack_lengths([len(b) // 4 for b in encoded], window)
-    item, start, length, seq, offset = (np.array(x, dtype=np.int64) for x in zip(*pieces, strict=True))
-    cut = [encoded[k][4 * s : 4 * (s + n)] for k, s, n, _, _ in pieces]
-    total = np.array([len(b) // 4 for b in encoded], dtype=np.int64)
-    known = pa.array(doc_ids, pa.int64()).take(pa.array(item))
-    columns = [known, start, length, [zlib.crc32(c) for c in cut], total[item], seq + made + partition * IDS_PER_PARTITION, offset]
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    arrays = [columns[0], *(pa.array(c, pa.int64()) for c in columns[1:])]
+def _batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
+    sequence, doc_id, start, total, offset, raw = zip(*rows, strict=True)
+    length = [len(r) // 4 for r in raw]
+    columns = {"doc_id": doc_id, "start": start, "length": length, "ids_crc32": [zlib.crc32(r) for r in raw], "doc_tokens": total, "sequence_id": sequence, "offset": offset}
+    arrays = {name: pa.array(c, pa.int64()) for name, c in columns.items()}
     if with_ids:
-        arrays.append(pa.array([np.frombuffer(c, "<u4").astype(np.int32) for c in cut], pa.list_(pa.int32())))
-        names.append("ids")
-    return pa.RecordBatch.from_arrays(arrays, names), made + int(seq.max()) + 1
+        ends = np.cumsum([0, *length], dtype=np.int32)
+        arrays["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+    return pa.RecordBatch.from_pydict(arrays)

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from millrace.llm.common import doc_text, new_folder, text_blocks, written
-from millrace.llm.tokens import encoder
+from millrace.llm.common import doc_text, new_folder, written
+from millrace.llm.tokens import encoder, text_slices
 
 # Fixed values of the mask.
 ROTATE, MASK_ADD = 15, 0xA282EAD8
@@ -31,6 +31,8 @@ ROTATE, MASK_ADD = 15, 0xA282EAD8
 HEAD = struct.Struct("<QI")
 FOOT = struct.Struct("<I")
 NAME = struct.Struct("<qBB6x")
+#: Bytes of text that are encoded together.
+TEXT_BYTES = 8 << 20
 
 
 def masked(data: bytes) -> int:
@@ -62,9 +64,13 @@ def read_frame(stream) -> bytes | None:
     return payload
 
 
-def pack_ids(doc_id: int | None, ids: np.ndarray) -> bytes:
-    width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
-    return NAME.pack(doc_id or 0, doc_id is not None, width) + ids.astype(f"<u{width}").tobytes()
+def payloads(doc_ids: list, ids: np.ndarray, starts: np.ndarray) -> Iterator[bytes]:
+    """The payload of each of consecutive records (none empty): ids in two bytes where all of a record's fit."""
+    narrow = (np.maximum.reduceat(ids, starts[:-1]) < 1 << 16).tolist() if len(doc_ids) else []
+    two, four, ends = ids.astype("<u2").tobytes(), ids.tobytes(), starts.tolist()
+    for doc_id, small, a, z in zip(doc_ids, narrow, ends, ends[1:], strict=False):
+        width = 2 if small else 4
+        yield NAME.pack(doc_id or 0, doc_id is not None, width) + (two if small else four)[width * a : width * z]
 
 
 def unpack_ids(payload: bytes) -> tuple[int | None, np.ndarray]:
@@ -80,24 +86,24 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str) ->
     that is run again writes other files; only those in the manifest count. Null and empty texts have end_id
     alone. An empty table has an empty manifest.
     """
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part = encoder(tokenizer), TaskContext.get().partitionId()
         files, root = fs.FileSystem.from_uri(folder)
         name = f"{root}/part-{part:06d}-{uuid.uuid4().hex}"
         data, at, before, index, offsets = None, 0, 0, [], []
-        for doc_ids, texts in text_blocks(batches, 2 << 20):
+        for doc_ids, texts in text_slices(batches, TEXT_BYTES):
             if data is None:
                 files.create_dir(root, recursive=True)
                 data = files.open_output_stream(f"{name}.rec.tmp", buffer_size=1 << 20)
-            for i, raw in zip(doc_ids, tokens.block(texts), strict=True):
-                ids = np.frombuffer(raw + end, "<u4")
-                framed = frame(pack_ids(i, ids))
+            ids, starts = tokens.column(texts, end_id)
+            index += (before + starts[:-1]).tolist()
+            before += len(ids)
+            for payload in payloads(doc_ids.to_pylist(), ids, starts):
+                framed = frame(payload)
                 data.write(framed)
                 offsets.append(at)
-                index.append(before)
-                at, before = at + len(framed), before + len(ids)
+                at += len(framed)
         if data is None:
             return
         data.close()

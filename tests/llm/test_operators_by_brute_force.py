@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -250,9 +251,29 @@ def test_encoder_by_pieces_is_the_library_s(path):
     t, e, r = Tokenizer.from_file(path), tokens.TextEncoder(path), random.Random(9)
     alphabet = [*"ab zZ\n\t 'éΣς1²\x1c 漢한!?.,-_\r", "the ", "Word, ", ". ", "'s ", "<|endoftext|>", "İ. "]
     texts = TEXTS + ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(400)]
-    for k in range(0, len(texts), 50):
-        for x, got in zip(texts[k : k + 50], e.block(texts[k : k + 50]), strict=True):
-            assert np.frombuffer(got, "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids
+    wanted = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for end in (None, 2):
+        for k in range(0, len(texts), 50):
+            ids, starts = e.column(pa.array(texts[k : k + 50], pa.string()), end)
+            got = [ids[a:z].tolist() for a, z in zip(starts, starts[1:], strict=False)]
+            assert got == [w if end is None else [*w, end] for w in wanted[k : k + 50]]
+
+
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_encoder_over_chunks_and_generations(path, monkeypatch):
+    """Texts that go on over many chunks, and a cache that is turned over all the time."""
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 2000)
+    t, e = Tokenizer.from_file(path), tokens.TextEncoder(path)
+    cut = tokens.chunks
+    monkeypatch.setattr(tokens, "chunks", lambda column, whole, lower: cut(column, whole, lower, 70))
+    for _ in range(2):
+        ids, starts = e.column(pa.array(TEXTS, pa.string()))
+        assert [ids[a:z].tolist() for a, z in zip(starts, starts[1:], strict=False)] == [t.encode(x or "", add_special_tokens=False).ids for x in TEXTS]
+    monkeypatch.setattr(bpe, "chunks", lambda column, whole, lower: cut(column, whole, lower, 70))
+    if path == WORDS:
+        for got, x in zip(bpe.WordBpe(path).digests(pa.array(TEXTS, pa.string())), TEXTS, strict=True):
+            ids = t.encode(x or "", add_special_tokens=False).ids
+            assert got == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest())
 
 
 def test_records(docs, empty, spark):
@@ -277,7 +298,7 @@ def test_records(docs, empty, spark):
 def test_damaged_records_are_noticed():
     import io
 
-    good = records.frame(records.pack_ids(5, np.arange(9, dtype=np.uint32)))
+    good = records.frame(*records.payloads([5], np.arange(9, dtype=np.uint32), np.array([0, 9])))
     assert records.unpack_ids(records.read_frame(io.BytesIO(good)))[1].tolist() == list(range(9))
     for k in range(len(good)):
         bad = bytearray(good)
@@ -384,10 +405,37 @@ def test_packing(docs, empty):
     fills = {}
     for r in rows:
         fills[r.sequence_id] = fills.get(r.sequence_id, 0) + r.length
-    assert sum(f < 64 for f in fills.values()) <= 3  # one per partition
+    n = rows and sum(r.length for r in rows)
+    assert len(fills) * 64 - n < 3 * 64  # less than one window per partition
     assert packing.pack(empty, BYTES, 1).count() == 0
 
 
+def test_only_the_emptiest_windows_are_taken_apart():
+    """What the sum of squares has placed stays, but for the pieces of the windows that fill the others."""
+    r = random.Random(12)
+    lengths = [min(300, int(r.lognormvariate(4, 1)) + 1) for _ in range(700)]
+    filler, packer = packing.WindowFiller(128), packing.SquaresPacker(128)
+    docs = [(i, np.arange(1000 * i, 1000 * i + n, dtype="<u4").tobytes()) for i, n in enumerate(lengths)]
+    full = [w for d in docs for w in filler.add(*d)]
+    opened = {w: list(ps) for w, ps in filler.held.items()}
+    rest = list(filler.rest())
+    # The same places as by a packer that is asked for each rest of a document alone.
+    placed = {}
+    for i, n in enumerate(lengths):
+        for _ in range(n // 128):
+            packer.whole()
+        if n % 128:
+            placed[i] = packer.place(n % 128)
+    found = {p[0]: (w, p[3]) for w, ps in [*full, *opened.items()] for p in ps if len(p[4]) // 4 == lengths[p[0]] % 128 and p[1] == lengths[p[0]] // 128 * 128}
+    assert found == placed
+    tokens_of = lambda ws: sorted(x for _, ps in ws for p in ps for x in np.frombuffer(p[4], "<u4").tolist())
+    assert tokens_of([*full, *rest]) == sorted(x for _, raw in docs for x in np.frombuffer(raw, "<u4").tolist())
+    assert len(rest) == -(-sum(len(p[4]) // 4 for ps in opened.values() for p in ps) // 128)
+    for w, ps in rest:
+        assert ps[: len(opened[w])] == opened[w]
+        assert [p[3] for p in ps] == [sum(len(q[4]) // 4 for q in ps[:k]) for k in range(len(ps))]
+
+
 def test_language_identification(docs, empty, spark):
     got = by_id(langid.identify(docs))
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 for i, r in got.items())
