@@ -17,8 +17,6 @@ BUCKETS = 10_000
 #: The target model is fitted on at most so many labelled documents, those of least hash.
 TARGET_DOCS = 20_000
 SMOOTHING = 0.5
-#: Scale of the mean log ratio per n-gram against the Gumbel noise.
-SHARPNESS = 400.0
 #: Share of the rejected labels' share that the drawing leaves out: all of it.
 STRICTNESS = 1.0
 SEED = 8
@@ -56,11 +54,8 @@ class Ratio:
 
 
 def key(weight: float, count: int, doc_id: int | None) -> float:
-    """The Gumbel key by which documents are drawn: the log weight per n-gram, sharpened, plus noise.
-
-    By the sum alone, length would decide: a long text's sum is large either way. No n-grams: the least key.
-    """
-    return SHARPNESS * weight / count + noise(doc_id) if count else -1e300
+    """The Gumbel key by which documents are drawn: the log importance weight plus noise. No n-grams: the least key."""
+    return weight + noise(doc_id) if count else -1e300
 
 
 def sortable(x: np.ndarray) -> np.ndarray:
