@@ -9,24 +9,20 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from millrace.llm.common import doc_text, text_blocks
+from millrace.llm.tokens import byte_letters, chunks, normal, text_slices
 
 CACHE_WORDS = 300_000
-
-
-def byte_letters() -> list[str]:
-    """The printable letter that byte-level BPE writes for each byte: itself where visible, else the next from U+0100 on."""
-    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b if b in own else next(spare)) for b in range(256)]
+#: Bytes of one generation of the cache of pieces, as counted by ENTRY and the lengths; longer pieces aren't kept.
+CACHE_BYTES, ENTRY, LONG_PIECE = 64 << 20, 300, 64
 
 
 class WordBpe:
@@ -43,6 +39,7 @@ class WordBpe:
         if kinds != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"] or steps[1]["use_regex"]:
             raise ValueError(f"{path}: not a tokenizer of the kind that this operator encodes")
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
+        self.added_bytes = {t.encode(): i for t, i in self.added.items()}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.split_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         self.words = regex.compile(steps[0]["pattern"]["Regex"])
@@ -54,7 +51,9 @@ class WordBpe:
         self.first = [self.vocab[c] for c in letters]
         self.last = [self.vocab[c + self.end] for c in letters]
         self.by_word: dict[str, list[int]] = {}
-        self.by_piece: dict[str, tuple[bytes, bytes]] = {}
+        self.young: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.old: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.held = 0
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: the lowest rank is merged first, leftmost first among equals."""
@@ -85,9 +84,8 @@ class WordBpe:
 
     def piece(self, text: str) -> list[int]:
         """Ids of a text without added tokens."""
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         out: list[int] = []
-        for w in self.words.findall(text):
+        for w in self.words.findall(normal(text)):
             ids = self.by_word.get(w)
             if ids is None:
                 ids = self.merge(w.encode())
@@ -106,25 +104,59 @@ class WordBpe:
         """The vocabulary strings of ids; the file names no decoder, so a space stands between them, as in the library."""
         return " ".join(self.names[i] for i in ids if i in self.names)
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """n_tokens, sha256 of the decimal ids and of the decoded text, put together from pieces between spaces."""
-        ids, names = [], []
-        known = self.by_piece
-        for p in text.replace("\n", " ").split(" "):
-            got = known.get(p)
-            if got is None:
-                own = self.encode(p)
-                got = " ".join(map(str, own)).encode(), self.decode(own).encode()
-                if len(p) <= 64:
-                    if len(known) >= CACHE_WORDS:
-                        known.clear()
-                    known[p] = got
-            if got[0]:
-                ids.append(got[0])
-                names.append(got[1])
-        joined = b" ".join(ids)
-        n = joined.count(b" ") + 1 if joined else 0
-        return n, hashlib.sha256(joined).hexdigest(), hashlib.sha256(b" ".join(names)).hexdigest()
+    def told(self, piece: bytes) -> tuple[int, bytes, bytes]:
+        """Number of ids of a piece of text, those in decimal and the strings they stand for, each with a space behind."""
+        if piece in self.added_bytes:
+            ids = [self.added_bytes[piece]]
+        elif piece.isascii() and (word := piece.strip(b" ")).isalpha():
+            ids = self.merge(word.lower())
+        else:
+            ids = self.piece(piece.decode())
+        return len(ids), b"".join([b"%d " % i for i in ids]), "".join([f"{self.names[i]} " for i in ids]).encode()
+
+    def lookup(self, pieces: list[bytes]) -> list[tuple[int, bytes, bytes]]:
+        """told() of each piece, from the cache as far as it goes."""
+        young, old = self.young, self.old
+        out: list = list(map(young.get, pieces))
+        for k in [k for k, v in enumerate(out) if v is None]:
+            p = pieces[k]
+            out[k] = got = old.get(p) or self.told(p)
+            if len(p) <= LONG_PIECE:
+                young[p] = got
+                self.held += ENTRY + len(p) + len(got[1]) + len(got[2])
+        if self.held > CACHE_BYTES:
+            self.old, self.young, self.held = young, {}, 0
+        return out
+
+    def digests(self, texts: pa.Array) -> Iterator[tuple[int, str, str]]:
+        """For each text n_tokens, sha256 of the decimal ids and of the decoded text, put together from its pieces.
+
+        A text may go on over several chunks; its hashes do, too.
+        """
+        n, hashes, begun = 0, [hashlib.sha256(), hashlib.sha256()], [False, False]
+        upto = 0
+        for index, pieces, ends in chunks(texts, list(self.added_bytes), lower=True):
+            told = self.lookup(pieces)
+            counts = np.r_[0, np.cumsum(np.fromiter((t[0] for t in told), np.int64, len(told))[index])]
+            edges = np.r_[0, ends - upto, len(index)]
+            upto += len(index)
+            streams = []
+            for k in (1, 2):
+                joined = pa.array([t[k] for t in told], pa.binary()).take(pa.array(index))
+                places = np.frombuffer(joined.buffers()[1], np.int32)[: len(index) + 1][edges].tolist()
+                streams.append((memoryview(joined.buffers()[2] or b""), places))
+            for i, m in enumerate(np.diff(counts[edges]).tolist()):
+                n += m
+                for k, (data, places) in enumerate(streams):
+                    a, z = places[i], places[i + 1]
+                    if z > a:
+                        if begun[k]:
+                            hashes[k].update(b" ")
+                        hashes[k].update(data[a : z - 1])
+                        begun[k] = True
+                if i < len(ends):
+                    yield n, hashes[0].hexdigest(), hashes[1].hexdigest()
+                    n, hashes, begun = 0, [hashlib.sha256(), hashlib.sha256()], [False, False]
 
 
 @cache
@@ -153,8 +185,8 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
-        for ids, texts in text_blocks(batches):
-            n, a, b = zip(*(bpe.digests(t or "") for t in texts), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for ids, texts in text_slices(batches, 8 << 20):
+            n, a, b = zip(*bpe.digests(texts), strict=True)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return doc_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
