@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,14 +27,95 @@ def tokens(text: Column) -> Column:
     return F.filter(found, lambda t: t.rlike(r"[\p{L}\p{N}]"))
 
 
-_LEXER = re.compile(r'\s*(?:(?P<and>AND\b|&&)|(?P<or>OR\b|\|\|)|(?P<not>NOT\b|!)|(?P<open>\()|(?P<close>\))|(?P<sign>[+-])|"(?P<phrase>(?:[^"\\]|\\.)*)"|(?P<word>(?:[^\s()"\\]|\\.)+))')
+# The signs of the classic query syntax of full-text engines.
+_LEXER = re.compile(
+    r"""[\s\u3000]*(?:
+    (?P<and>AND(?![^\s()"])|&&) | (?P<or>OR(?![^\s()"])|\|\|) | (?P<not>NOT(?![^\s()"])|!) | (?P<open>\() | (?P<close>\)) | (?P<sign>[+-]) |
+    (?P<boost>\^[0-9]+(?:\.[0-9]+)?) | (?P<fuzzy>~[0-9]*(?:\.[0-9]+)?) | (?P<colon>:) |
+    "(?P<phrase>(?:[^"\\]|\\.)*)" | /(?P<regex>(?:[^/\\]|\\.)*)/ |
+    (?P<range>[\[{]\s*(?:"(?:[^"\\]|\\.)*"|[^\s\]}]+)\s+TO\s+(?:"(?:[^"\\]|\\.)*"|[^\s\]}]+)\s*[\]}]) |
+    (?P<word>(?:[^\s\u3000+\-!():^\[\]"{}~\\/]|\\.)(?:[^\s\u3000!():^\[\]"{}~\\/]|\\.)*))""",
+    re.X | re.S,
+)
+_RANGE = re.compile(r"([\[{])\s*(\"(?:[^\"\\]|\\.)*\"|\S+)\s+TO\s+(\"(?:[^\"\\]|\\.)*\"|[^\s\]}]+)\s*([\]}])", re.S)
+
+
+def _plain(text: str) -> str:
+    return re.sub(r"\\(.)", r"\1", text, flags=re.S)
+
+
+class Clause(NamedTuple):
+    """Part of a query: whether it matches, whether it adds to the score (a boost of 0 doesn't), given a text's tokens with
+    a space around each; and what a lower-case text must hold for a match (None: nothing is known)."""
+
+    test: Callable[[Column], Column]
+    score: Callable[[Column], Column]
+    needs: Callable[[Column], Column] | None = None
+
+
+def _clause(test: Callable[[Column], Column], needs: Callable[[Column], Column] | None = None) -> Clause:
+    return Clause(test, test, needs)
+
+
+def _some_token(test: Callable[[Column], Column]) -> Clause:
+    return _clause(lambda j: F.exists(F.split(F.trim(j), " "), test))
+
+
+def _joined(parts: list, how: Callable[[Column, Column], Column]) -> Callable[[Column], Column]:
+    return lambda x: reduce(how, (p(x) for p in parts))
+
+
+def _any(clauses: list[Clause]) -> Clause:
+    either = lambda a, b: a | b
+    needs = [c.needs for c in clauses]
+    return Clause(_joined([c.test for c in clauses], either), _joined([c.score for c in clauses], either), None if None in needs else _joined(needs, either))
+
+
+def _words(text: str, phrase: bool, slop: int = 0) -> Clause | None:
+    """The tokens of a text: any of them, or as a phrase all in a row, moved by up to slop places; None without a token."""
+    words = split_words(text)
+    if not words:
+        return None
+    holds = [lambda t, w=w: t.contains(w) for w in words]
+    if len(words) > 1 and not phrase:
+        return _any([_words(w, False) or _clause(lambda j: F.lit(False)) for w in words])
+    if slop == 0 or len(words) == 1:
+        row = f" {' '.join(words)} "
+        return _clause(lambda j: j.contains(row), _joined(holds, lambda a, b: a & b))
+
+    def near(j: Column) -> Column:
+        # A place b such that each word k has an occurrence from b + k to b + k + slop; a token has a space before and behind.
+        return F.exists(
+            F.array(F.split(F.trim(j), " ")),
+            lambda t: F.exists(
+                F.sequence(F.lit(1 - slop - len(words)), F.size(t)),
+                lambda b: reduce(lambda x, y: x & y, (F.array_contains(F.slice(t, F.greatest(b + k, F.lit(0)) + 1, F.greatest(b + k + slop - F.greatest(b + k, F.lit(0)) + 1, F.lit(0))), w) for k, w in enumerate(words))),
+            ),
+        )
+
+    return _clause(near, _joined(holds, lambda a, b: a & b))
+
+
+def _fuzzy(word: str, edits: int) -> Clause:
+    """A token within so many edits (insert, delete, replace, swap two neighbours)."""
+    if not edits:
+        return _clause(lambda j: j.contains(f" {word} "))
+    swaps = sorted({word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)} - {word})
+
+    def close(x: Column) -> Column:
+        near = F.levenshtein(x, F.lit(word), edits) >= 0
+        for s in swaps:
+            near |= (x == s) if edits == 1 else (F.levenshtein(x, F.lit(s), edits - 1) >= 0)
+        return near
+
+    return _some_token(close)
 
 
 class _Query:
-    """Recursive descent over a query; each node is a function from the tokens column to a boolean column, or None if it has no token."""
+    """Recursive descent over a query in the classic syntax; single() and clauses() give a Clause, or None if it has no token."""
 
-    def __init__(self, text: str):
-        self.items, at = [], 0
+    def __init__(self, text: str, field: str):
+        self.items, at, self.field = [], 0, field
         while at < len(text.rstrip()):
             m = _LEXER.match(text, at)
             if not m:
@@ -41,68 +124,119 @@ class _Query:
             at = m.end()
         self.at = 0
 
-    def peek(self) -> str | None:
-        return self.items[self.at][0] if self.at < len(self.items) else None
+    def peek(self, ahead: int = 0) -> str | None:
+        return self.items[self.at + ahead][0] if self.at + ahead < len(self.items) else None
 
     def next(self) -> tuple[str, str]:
         self.at += 1
         return self.items[self.at - 1]
 
-    def clauses(self):
-        """Clauses up to a closing bracket: of each whether it must, should or mustn't match."""
+    def clauses(self, field: str) -> Clause | None:
+        """Clauses up to a closing bracket: each must, should or mustn't match."""
         found: list[list] = []
-        joined = None
+        joined, opened = None, self.at
         while (kind := self.peek()) not in (None, "close"):
             if kind in ("and", "or"):
+                if joined or self.at == opened:
+                    raise PropertyError("KeywordSearch: AND or OR without a clause before it")
                 self.next()
                 joined = kind
                 continue
             how = "should"
-            if kind == "sign":
+            if kind in ("sign", "not"):
                 how = "must" if self.next()[1] == "+" else "not"
-            elif kind == "not":
-                self.next()
-                how = "not"
-            node = self.single()
+            clause = self.boosted(field)
             if joined == "and":
                 if found and found[-1][0] == "should":
                     found[-1][0] = "must"
                 if how == "should":
                     how = "must"
             joined = None
-            found.append([how, node])
-        found = [f for f in found if f[1] is not None]
+            if clause is not None:
+                found.append([how, clause])
+        if joined:
+            raise PropertyError("KeywordSearch: AND or OR without a clause behind it")
+        must, should, never = ([c for w, c in found if w == h] for h in ("must", "should", "not"))
         if not found:
             return None
-        groups = {h: [n for w, n in found if w == h] for h in ("must", "should", "not")}
-
-        def test(t: Column) -> Column:
-            if not groups["must"] and not groups["should"]:
-                return F.lit(False)  # exclusions alone find nothing
-            good = reduce(lambda a, b: a & b, (n(t) for n in groups["must"])) if groups["must"] else reduce(lambda a, b: a | b, (n(t) for n in groups["should"]))
-            return reduce(lambda a, b: a & ~b, (n(t) for n in groups["not"]), good)
-
-        return test
-
-    def single(self):
-        kind, text = self.next() if self.peek() else ("end", "")
+        if not must and not should:
+            return _clause(lambda j: F.lit(False))  # exclusions alone find nothing
+        if must:
+            needs = [c.needs for c in must if c.needs]
+            good = Clause(_joined([c.test for c in must], lambda a, b: a & b), _any(must + should).score, _joined(needs, lambda a, b: a & b) if needs else None)
+        else:
+            good = _any(should)
+        if never:
+            bad = _any(never).test
+            return Clause(lambda j: good.test(j) & ~bad(j), lambda j: good.test(j) & good.score(j) & ~bad(j), good.needs)
+        return Clause(good.test, lambda j: good.test(j) & good.score(j), good.needs)
+
+    def boosted(self, field: str) -> Clause | None:
+        if self.peek() == "word" and self.peek(1) == "colon":
+            field = _plain(self.next()[1])
+            self.next()
+        clause = self.single(field)
+        if self.peek() == "boost":
+            zero = float(self.next()[1][1:]) == 0
+            if clause is not None and zero:
+                return clause._replace(score=lambda j: F.lit(False))
+        return clause
+
+    def number(self) -> str | None:
+        """What follows a ~ after a word or a phrase; None without one."""
+        return self.next()[1][1:] if self.peek() == "fuzzy" else None
+
+    def single(self, field: str) -> Clause | None:
+        if self.peek() is None:
+            raise PropertyError("KeywordSearch: nothing to look for before the end")
+        kind, text = self.next()
         if kind == "open":
-            inner = self.clauses()
+            inner = self.clauses(field)
             if self.peek() != "close":
                 raise PropertyError("KeywordSearch: a bracket isn't closed")
             self.next()
             return inner
         if kind == "phrase":
-            return _words(re.sub(r"\\(.)", r"\1", text))
-        if kind == "word":
-            if re.search(r"(?<!\\)[~^]|(?<!\\):|^[\[{]", text):
-                raise PropertyError(f"KeywordSearch: {text!r} asks for fuzzy terms, boosts, ranges or fields")
-            plain = re.sub(r"\\(.)", r"\1", text)
-            if re.search(r"(?<!\\)[*?]", text):
-                pattern = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in plain.lower())
-                return lambda t: F.exists(t, lambda x: x.rlike(f"^(?:{pattern})$"))
-            return _words(plain)
-        raise PropertyError(f"KeywordSearch: nothing to look for before {text or 'the end'!r}")
+            slop = self.number()
+            return self.of(field, _words(_plain(text), True, int(float(slop)) if slop else 0))
+        if kind == "range":
+            return self.of(field, self.between(text))
+        if kind == "regex":
+            if re.search(r"(?<!\\)[~#@&<>]", text):
+                raise PropertyError(f"KeywordSearch: /{text}/ uses signs that only some engines' expressions have")
+            return self.of(field, _some_token(lambda x: x.rlike(f"^(?:{text})$")))
+        if kind != "word":
+            raise PropertyError(f"KeywordSearch: nothing to look for before {text!r}")
+        fuzzy = self.number()
+        if re.search(r"(?<!\\)[*?]", text):
+            if field == "*" and text == "*":
+                return _clause(lambda j: F.lit(True))
+            pattern = "".join({"*": "[^ ]*", "?": "[^ ]"}.get(part, re.escape(_plain(part).lower())) for part in re.findall(r"\\.|.", text, re.S))
+            return self.of(field, _clause(lambda j: j.rlike(f" {pattern} ")))
+        if fuzzy is not None:
+            word, least = _plain(text).lower(), float(fuzzy or 2)
+            edits = min(int(least), 2) if least >= 1 else 0 if least == 0 else min(int((1 - least) * len(word)), 2)
+            return self.of(field, _fuzzy(word, edits))
+        return self.of(field, _words(_plain(text), False))
+
+    def of(self, field: str, clause: Clause | None) -> Clause | None:
+        """The clause, if its field is the one that is searched; there are no others."""
+        return clause if field == self.field or clause is None else _clause(lambda j: F.lit(False))
+
+    def between(self, text: str) -> Clause:
+        """A token from one to another, square brackets with the ends, * without an end."""
+        left, low, high, right = _RANGE.fullmatch(text).groups()
+        low, high = (None if x == "*" else _plain(x[1:-1] if x[:1] == '"' else x).lower() for x in (low, high))
+
+        def inside(x: Column) -> Column:
+            test = F.length(x) > 0
+            if low is not None:
+                test &= (x >= low) if left == "[" else (x > low)
+            if high is not None:
+                test &= (x <= high) if right == "]" else (x < high)
+            return test
+
+        return _some_token(inside)
 
 
 def split_words(text: str) -> list[str]:
@@ -114,32 +248,23 @@ def split_words(text: str) -> list[str]:
     return [t for t in regex.findall(token, text.lower()) if regex.search(r"[\p{L}\p{N}]", t)]
 
 
-def _words(text: str):
-    """Test for a term, or for several tokens in a row; None without a token."""
-    words = split_words(text)
-    if not words:
-        return None
-    if len(words) == 1:
-        return lambda t: F.array_contains(t, words[0])
-
-    def phrase(t: Column) -> Column:
-        # Starts of the first word at which the others follow.
-        starts = F.transform(t, lambda x, i: reduce(lambda a, b: a & b, (F.get(t, i + k) == w for k, w in enumerate(words[1:], 1)), x == words[0]))
-        return F.coalesce(F.exists(starts, lambda x: x), F.lit(False))
-
-    return phrase
-
-
-def keyword_test(query: str, text: Column) -> Column:
-    """Whether a text matches a query: terms (any of them), AND, OR, NOT, +, -, "phrases", wildcards and brackets.
+def keyword_test(query: str, text: Column, field: str) -> Column:
+    """Whether a text matches a query in the classic syntax of full-text engines.
 
-    Words of a text are whole and without case; a null matches nothing, nor does a query without words.
+    Terms (any of them), AND, OR, NOT, +, -, brackets, "phrases" (with ~n: moved by n places), wildcards, ~n fuzzy terms,
+    ranges, /expressions/, ^boosts (of which only 0 counts), and fields (`field`; others match nothing). Words of a
+    text are whole and without case; a null matches nothing, nor does a query without words. A text is cut into tokens
+    once, and only if it holds the words that the query can't do without.
     """
-    parser = _Query(query)
-    test = parser.clauses()
+    parser = _Query(query, field)
+    clause = parser.clauses(field)
     if parser.peek():
         raise PropertyError("KeywordSearch: a bracket too many")
-    return F.coalesce(test(tokens(text)), F.lit(False)) if test else F.lit(False)
+    if not clause:
+        return F.lit(False)
+    # A function's argument is computed once, however often the function reads it.
+    found = F.exists(F.array(F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))), clause.score)
+    return text.isNotNull() & F.coalesce(clause.needs(F.lower(text)) & found if clause.needs else found, F.lit(False))
 
 
 @operator("KeywordSearch", "Search")
@@ -150,7 +275,7 @@ class KeywordSearch(Operator):
     keyword: str
 
     def run(self, spark, df):
-        return df.where(keyword_test(self.keyword, col(df, self.attribute).cast("string")))
+        return df.where(keyword_test(self.keyword, col(df, self.attribute).cast("string"), self.attribute))
 
 
 # Words that dictionary entries and texts are compared without.

@@ -155,7 +155,7 @@ def test_keyword_search(spark, op, query, n):
 
 def test_keyword_search_refuses_what_it_cannot_do(spark, op):
     df = spark.createDataFrame([("a",)], "text string")
-    for bad in ("a~", "f:a", "a^2", "(a"):
+    for bad in ("a^", "f:", "a AND", "(a"):
         with pytest.raises(PropertyError):
             op("KeywordSearch", df, attribute="text", keyword=bad)
 
