@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import tempfile
 import uuid
 import zipfile
@@ -12,14 +13,22 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path below spark.checkpoint.dir; where that is unset (one machine) below a temporary folder."""
+    """A fresh path below spark.checkpoint.dir. Where that is unset, below a temporary folder if all runs in one process;
+    on a cluster ValueError, as executors wouldn't share it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: a folder that driver and executors share is needed")
         base = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path there."""
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
+
+
 def model_bytes(spark: SparkSession, model) -> bytes:
     """A fitted Spark ML stage or pipeline as a ZIP of its saved folder."""
     uri = shared_folder(spark)

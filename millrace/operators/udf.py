@@ -126,7 +126,9 @@ def _packed(results: Iterator[Any], schema: T.StructType, size: int = 1000) -> I
 
 def plain(frame: pd.DataFrame) -> list[dict]:
     """Rows as dicts, with None for null."""
-    return frame.astype(object).where(frame.notna(), None).to_dict("records")
+    columns = [c.astype(object).where(c.notna(), None).tolist() if c.hasnans else c.astype(object).tolist() for _, c in frame.items()]
+    names = frame.columns.tolist()
+    return [dict(zip(names, row, strict=True)) for row in zip(*columns, strict=True)] if names else [{} for _ in range(len(frame))]
 
 
 def _process(code: str, port: int, batches: Iterator[pd.DataFrame], first: list[pd.DataFrame] | None = None) -> Iterator[Any]:
@@ -244,10 +246,15 @@ class PythonUDFSourceV2(Operator):
         return spark.range(1, numPartitions=1).mapInPandas(make, schema)
 
 
-def _evaluate(expressions: list[tuple[str, str, T.DataType]], row: dict) -> dict:
-    for name, code, kind in expressions:
-        row[name] = fit_value(eval(code, {"pd": pd}, {"tuple_": row}), kind)  # noqa: S307  user expressions are this operator's purpose
-    return row
+def _evaluated(steps: list[tuple[str, str, T.DataType]], batches: Iterator[pd.DataFrame], schema: T.StructType) -> Iterator[pd.DataFrame]:
+    """Batches with the values of expressions over each row; the expressions are compiled once a task."""
+    ready = [(name, eval(f"lambda tuple_: ({code}\n)", {"pd": pd}), kind) for name, code, kind in steps]  # noqa: S307  user expressions are this operator's purpose
+    for b in batches:
+        rows = plain(b)
+        for row in rows:
+            for name, f, kind in ready:
+                row[name] = fit_value(f(row), kind)
+        yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in schema.names}, columns=schema.names)
 
 
 @operator("PythonLambdaFunction", "User-defined Functions")
@@ -268,12 +275,7 @@ class PythonLambdaFunction(Operator):
             compile(u["expression"], name, "eval")
             steps.append((name, u["expression"], fields[name]))
         schema = T.StructType([T.StructField(n, t, True) for n, t in fields.items()])
-
-        def run(batches):
-            for b in batches:
-                yield _frame([_evaluate(steps, row) for row in plain(b)], schema)
-
-        return df.mapInPandas(run, schema)
+        return df.mapInPandas(lambda batches: _evaluated(steps, batches, schema), schema)
 
 
 @operator("PythonTableReducer", "User-defined Functions")

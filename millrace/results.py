@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import base64
-import os
+import shutil
 import zipfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions import types
+from millrace.functions import storage, types
 
 PAGE = 5
 TEXT_SHOWN = 100
@@ -91,47 +93,52 @@ def preview(df: DataFrame, full_text: bool = False) -> DataFrame:
 
 
 def export(df: DataFrame, path: str, kind: str = "csv", row: int = 0, column: int = 0) -> str:
-    """Writes a result and returns the path: csv and parquet folders (any size), zip of Parquet, arrow, html or data
-    (one value) files. A file is written by the driver; arrow goes there batch by batch."""
+    """Writes a result and returns the path, a folder or file of this machine or a URI: csv and parquet folders (any
+    size), zip of Parquet, arrow, html or data (one value) files. One file is put together on the driver, from parts
+    that executors have written or serialized."""
     if kind == "csv":
         shown = df.select(*(F.base64(f"`{f.name}`").alias(f.name) if isinstance(f.dataType, T.BinaryType) else F.col(f"`{f.name}`") for f in df.schema))
         shown.write.mode("overwrite").option("header", True).csv(path)
-    elif kind == "parquet":
+        return path
+    if kind == "parquet":
         df.write.mode("overwrite").parquet(path)
-    elif kind == "zip":
+        return path
+    files, place = storage.filesystem(path)
+    if kind == "zip":
         folder = f"{path}.parts"
         df.write.mode("overwrite").parquet(folder)
-        with zipfile.ZipFile(path, "w") as z:
-            for name in sorted(os.listdir(folder)):
-                if name.endswith(".parquet"):
-                    z.write(f"{folder}/{name}", name)
+        found = [f for f in files.get_file_info(fs.FileSelector(f"{place}.parts")) if f.path.endswith(".parquet")]
+        with files.open_output_stream(place) as out, zipfile.ZipFile(out, "w") as z:
+            for f in sorted(found, key=lambda f: f.path):
+                with files.open_input_stream(f.path) as part, z.open(f.base_name, "w", force_zip64=True) as to:
+                    shutil.copyfileobj(part, to, 1 << 20)
+        files.delete_dir(f"{place}.parts")
     elif kind == "arrow":
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(df.schema)
-        with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, schema) as out:
-            for part in _row_batches(df, schema):
-                out.write_batch(part)
+        with files.open_output_stream(place) as f, pa.ipc.new_file(f, schema) as out:
+            for r in df.mapInArrow(_serialized, "part binary").toLocalIterator():
+                for part in pa.ipc.open_stream(r[0]):
+                    out.write_batch(pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(part.columns, schema.types, strict=True)], schema=schema))
     elif kind in ("html", "data"):
         at = 0 if kind == "html" else row
         value = df.offset(at).first()
         cell = None if value is None else value[0 if kind == "html" else column]
-        with open(path, "wb") as f:
+        with files.open_output_stream(place) as f:
             f.write(bytes(cell) if isinstance(cell, bytes | bytearray) else str("" if cell is None else cell).encode())
     else:
         raise ValueError(f"no kind of export {kind!r}")
     return path
 
 
-def _row_batches(df: DataFrame, schema: pa.Schema, size: int = 4096):
-    held = []
-    for r in df.toLocalIterator():
-        held.append(r.asDict())
-        if len(held) == size:
-            yield pa.RecordBatch.from_pylist(held, schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema)
+def _serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch as the bytes of an Arrow stream of its own."""
+    for b in batches:
+        held = pa.BufferOutputStream()
+        with pa.ipc.new_stream(held, b.schema) as out:
+            out.write_batch(b)
+        yield pa.RecordBatch.from_arrays([pa.array([held.getvalue().to_pybytes()], pa.binary())], ["part"])
 
 
 def data_url(raw: bytes, kind: str) -> str:

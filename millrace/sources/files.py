@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from millrace.functions import types
+from millrace.functions import storage, types
 from millrace.registry import Operator, PropertyError, check_names, operator
 
 #: Rows from which column types are inferred.
@@ -265,17 +265,22 @@ class _ArrowBatch(InputPartition):
         self.index = index
 
 
+def _opened(path: str):
+    files, place = storage.filesystem(path)
+    return files.open_input_file(place)
+
+
 class ArrowFileReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
     def partitions(self):
-        with pa.OSFile(self.path) as f:
+        with _opened(self.path) as f:
             return [_ArrowBatch(i) for i in range(pa.ipc.open_file(f).num_record_batches)] or [_ArrowBatch(-1)]
 
     def read(self, partition):
         if partition.index >= 0:
-            with pa.memory_map(self.path) as f:
+            with _opened(self.path) as f:
                 yield pa.ipc.open_file(f).get_batch(partition.index)
 
 
@@ -289,7 +294,7 @@ class ArrowFile(DataSource):
     def schema(self):
         from pyspark.sql.pandas.types import from_arrow_schema
 
-        with pa.OSFile(self.options["path"]) as f:
+        with _opened(self.options["path"]) as f:
             return from_arrow_schema(pa.ipc.open_file(f).schema)
 
     def reader(self, schema):
@@ -307,7 +312,7 @@ class ArrowSource(Operator):
 
     def run(self, spark):
         spark.dataSource.register(ArrowFile)
-        return sliced(spark.read.format("millrace_arrow").load(self.fileName.removeprefix("file://")), self.offset, self.limit)
+        return sliced(spark.read.format("millrace_arrow").load(self.fileName), self.offset, self.limit)
 
 
 @operator("CacheSource", "Data input")
