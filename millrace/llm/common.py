@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Word separators of every contract of this subpackage: space, tab, line feed to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -16,10 +18,13 @@ SPACES = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI.
 
-    It is spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary folder is taken.
+    It is spark.checkpoint.dir. Only where that is unset and all runs in one process (tests) a temporary folder is
+    taken; on a cluster that raises ValueError, as executors wouldn't share it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: a folder that driver and executors share is needed")
         base = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
@@ -44,6 +49,48 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows (of a few longs) that may be broadcast once their number is known: at most about 50 MB.
+BROADCAST_ROWS = 1_000_000
+#: A key is hot if it has over one in HOT_SHARE of all rows (so there are at most HOT_SHARE such keys), and over HOT_LEAST.
+HOT_SHARE, HOT_LEAST = 1000, 1000
+
+
+def broadcast_if_small(df: DataFrame, name: str) -> DataFrame:
+    """df written, and marked for a broadcast if it has at most BROADCAST_ROWS rows; a larger one is left to a shuffle."""
+    kept = written(df, name)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
+def join_with_hot_keys(many: DataFrame, one: DataFrame, key: str, rows: str, total: int) -> DataFrame:
+    """many joined with one on key; `one` has one row a key and in column `rows` how many rows of `many` (in all: total) have it.
+
+    Rows of hot keys stay where they are: their few rows of `one` are broadcast. All others are shuffled. Both sides are
+    read twice, so they should be written or checkpointed.
+    """
+    hot = (F.col(rows) > HOT_LEAST) & (F.col(rows) * HOT_SHARE > total)
+    some = one.where(hot).drop(rows)
+    rest = many.join(F.broadcast(some.select(key)), key, "left_anti").join(one.where(~hot).drop(rows), key)
+    return many.join(F.broadcast(some), key).unionByName(rest)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[list[np.ndarray]]:
+    """The columns of a partition that is sorted by its first, a long, in parts of about `least` rows that hold whole groups."""
+    held: list[list[np.ndarray]] = []
+    n, wanted = 0, least
+    for b in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+        n += b.num_rows
+        if n >= wanted:
+            joined = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(joined[0], joined[0][-1]))
+            if cut:
+                yield [x[:cut] for x in joined]
+            held, n = [[x[cut:] for x in joined]], n - cut
+            wanted = max(least, 2 * n)
+    if n:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[tuple[list, list]]:
     """(doc_ids, texts) in blocks of about `limit` characters; batches have doc_id and text first. Null texts stay None."""
     ids: list = []

@@ -5,25 +5,30 @@ bytes for removal. Inserting one symbol per document a round takes as many round
 has bytes, so the collection isn't made of whole documents but of pieces of at most SPAN + WINDOW - 1
 bytes. A piece holds the windows of SPAN bytes that share one anchor: the GRAM bytes of least hash in the
 window. Equal windows have equal anchors, so pieces are dealt out by anchor and every pair of equal
-windows meets. Equal pieces are merged first; those that share an anchor but differ become one collection,
-whose transform and common prefixes are built column by column, in files that each round reads and writes
-from end to end.
+windows meets. Equal pieces are merged first, by 96 bits of their hash and the anchor; those that share an
+anchor but differ become one collection, whose transform and common prefixes are built column by column, in
+files that each round reads and writes from end to end.
+
+A document is a doc_id with a text: rows that repeat both are one document, rows that repeat a doc_id with
+another text are documents of the same rank, neither of which is earlier. Among them a document is named by
+its doc_id and a variant, the text's hash; everywhere else the variant is 0.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import doc_text, text_blocks, written
+from millrace.llm.common import broadcast_if_small, new_folder, written
 
 SPAN = 100
 GRAM = 24
@@ -35,11 +40,13 @@ PART = 1 << 18
 COLLECTION = 1000
 #: Bytes of a collection's files up to which they stay in memory.
 FILE_MEMORY = 8 << 20
-#: An anchor with over one in HOT_SHARE of all pieces of the sample is hot: there are at most HOT_SHARE.
-#: Its windows are dealt out one by one.
-HOT_SHARE = 2000
-HOT_LEAST = 200
-SAMPLE = 32
+#: An anchor is hot if at least HOT_LEAST pieces of one document in SAMPLE have it, and at least one in HOT_MOST of
+#: them; so at most HOT_MOST anchors are. Windows with a hot anchor are dealt out one by one.
+HOT_LEAST, HOT_MOST, SAMPLE = 200, 1_000_000, 32
+#: Different pieces of one anchor that make up a collection together; of an anchor that has more, windows are dealt out.
+LARGE = 50_000
+#: Bytes of text whose pieces one task brings together.
+BUCKET_BYTES = 64 << 20
 
 _NO_ID = -(1 << 63)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -99,8 +106,8 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[list[tuple[int, int, int,
 
 
 def pieces(texts: list[str | None], hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Pieces of all texts: anchor hash, piece hash, text, start, windows; sorted arrays of anchors that are hot apart."""
-    digest = xxhash.xxh3_64_intdigest
+    """Pieces of all texts: anchor hash, two parts of the piece's hash, text, start, windows; `hot` is a sorted array of anchors."""
+    digest, long = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
     out: list[list[np.ndarray]] = []
     for found, raw in _parts(texts):
         place, h = anchors(np.frombuffer(raw, np.uint8))
@@ -123,123 +130,166 @@ def pieces(texts: list[str | None], hot: np.ndarray) -> tuple[np.ndarray, ...]:
                     b = int(begin[i])
                     anchor[i] = digest(raw[b : b + SPAN], 1)
         ends = begin + windows + SPAN - 1
-        whole = np.array([digest(raw[a:b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)], dtype=np.uint64)
-        out.append([anchor, whole, text[of], begin - at[of] + start[of], windows])
+        whole = np.frombuffer(b"".join([long(raw[a:b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]), ">u8").reshape(-1, 2)
+        out.append([anchor, whole[:, 0].astype(np.uint64), (whole[:, 1] >> np.uint64(32)).astype(np.uint32), text[of], begin - at[of] + start[of], windows])
     if not out:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint32), *(np.empty(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-_COUNT = struct.Struct("<II")
+_HEAD = struct.Struct("<IIBB")
+
+
+def _to_blob(doc, variant, start, windows, anchor=None, whole=None, more=None) -> bytes:
+    """Places of pieces, as bytes; with their hashes, unless they are later places. Of an anchor half goes: the bucket tells it apart enough."""
+    both = np.rec.fromarrays([doc, variant])
+    names, index = np.unique(both, return_inverse=True)
+    plain = not variant.any()
+    parts = [_HEAD.pack(len(doc), len(names), plain, anchor is None), names.f0.astype("<i8").tobytes()]
+    if not plain:
+        parts.append(names.f1.astype("<i8").tobytes())
+    parts += [index.astype("<u4" if len(names) > 65535 else "<u2").tobytes(), start.astype("<u4").tobytes(), windows.astype("u1").tobytes()]
+    if anchor is not None:
+        parts += [(anchor >> np.uint64(32)).astype("<u4").tobytes(), whole.astype("<u8").tobytes(), more.astype("<u4").tobytes()]
+    return b"".join(parts)
+
+
+def _from_blob(blob: bytes) -> list[np.ndarray]:
+    n, m, plain, bare = _HEAD.unpack_from(blob)
+    at = _HEAD.size
 
+    def take(kind: str, count: int) -> np.ndarray:
+        nonlocal at
+        got = np.frombuffer(blob, kind, count, at)
+        at += got.nbytes
+        return got
 
-def _to_blob(anchor, whole, doc, start, windows) -> bytes:
-    names, index = np.unique(doc, return_inverse=True)
-    return b"".join((_COUNT.pack(len(anchor), len(names)), anchor.astype("<u8").tobytes(), whole.astype("<u8").tobytes(), names.astype("<i8").tobytes(), index.astype("<u4" if len(names) > 65535 else "<u2").tobytes(), start.astype("<u4").tobytes(), windows.astype("u1").tobytes()))
+    doc = take("<i8", m)
+    variant = np.zeros(m, np.int64) if plain else take("<i8", m)
+    index = take("<u4" if m > 65535 else "<u2", n)
+    out = [doc[index], variant[index], take("<u4", n).astype(np.int64), take("u1", n).astype(np.int64)]
+    return out if bare else [*out, take("<u4", n), take("<u8", n), take("<u4", n)]
 
 
-def _from_blob(blob: bytes) -> tuple[np.ndarray, ...]:
-    n, m = _COUNT.unpack_from(blob)
-    at = _COUNT.size
-    out = []
-    for kind, count in (("<u8", n), ("<u8", n), ("<i8", m), ("<u4" if m > 65535 else "<u2", n), ("<u4", n), ("u1", n)):
-        out.append(np.frombuffer(blob, kind, count, at))
-        at += out[-1].nbytes
-    anchor, whole, names, index, start, windows = out
-    return anchor, whole, names[index], start.astype(np.int64), windows.astype(np.int64)
+def _after(fresh: np.ndarray, doc: np.ndarray, variant: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of places sorted by string, doc, variant and start (fresh where a string begins), those that a place of the same string is earlier than."""
+    n = np.arange(len(doc))
+    string = np.maximum.accumulate(np.where(fresh, n, 0))
+    new = fresh.copy()
+    new[1:] |= (doc[1:] != doc[:-1]) | (variant[1:] != variant[:-1])
+    own = np.maximum.accumulate(np.where(new, n, 0))
+    return (doc != doc[string]) | (start != start[own])
 
 
-def _later(anchor, whole, doc, start) -> tuple[np.ndarray, np.ndarray]:
-    """Order by piece and place, and whether each in that order is a later place of the same piece."""
-    order = np.lexsort((start, doc, whole, anchor))
-    a, w = anchor[order], whole[order]
-    later = np.r_[False, (a[1:] == a[:-1]) & (w[1:] == w[:-1])]
-    # The same place again (a repeated row) is no later place: it counts as the first, too.
-    firsts = np.maximum.accumulate(np.where(later, 0, np.arange(len(order))))
-    d, s = doc[order], start[order]
-    return order, later & ((d != d[firsts]) | (s != s[firsts]))
+def _later(doc, variant, start, anchor, whole, more) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by piece and place; and in that order whether a piece begins, and whether a place is a later one of its piece."""
+    order = np.lexsort((start, variant, doc, whole, anchor)) if variant.any() else np.lexsort((start, doc, whole, anchor))
+    a, w, m = anchor[order], whole[order], more[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1]) | (m[1:] != m[:-1])
+    return order, fresh, _after(fresh, doc[order], variant[order], start[order])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    """doc, variant, texts in blocks of about `limit` characters (columns doc, variant, text)."""
+    doc, variant, texts, size = [], [], [], 0
+    for b in batches:
+        for d, v, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            t = t.as_py()
+            doc.append(d)
+            variant.append(v)
+            texts.append(t)
+            size += len(t) if t else 1
+            if size >= limit:
+                yield np.array(doc, np.int64), np.array(variant, np.int64), texts
+                doc, variant, texts, size = [], [], [], 0
+    if doc:
+        yield np.array(doc, np.int64), np.array(variant, np.int64), texts
 
 
 def _scan(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """bucket, later, blob: the pieces of each block of texts. Of equal pieces of a block only the first is dealt out by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in text_blocks(batches):
-            anchor, whole, text, start, windows = pieces(texts, hot)
+        for docs_of, variants, texts in _blocks(batches):
+            anchor, whole, more, text, start, windows = pieces(texts, hot)
             if not len(anchor):
                 continue
-            doc = np.array([_NO_ID if i is None else i for i in ids], dtype=np.int64)[text]
-            order, later = _later(anchor, whole, doc, start)
-            columns = [x[order] for x in (anchor, whole, doc, start, windows)]
+            doc, variant = docs_of[text], variants[text]
+            order, _, later = _later(doc, variant, start, anchor, whole, more)
+            doc, variant, start, windows, anchor, whole, more = (x[order] for x in (doc, variant, start, windows, anchor, whole, more))
             rows = []
             if later.any():
-                rows.append((int(columns[0][0] % np.uint64(buckets)), True, _to_blob(*(c[later] for c in columns))))
-            columns = [c[~later] for c in columns]
-            bucket = (columns[0] % np.uint64(buckets)).astype(np.int64)
-            by = np.lexsort((columns[3], columns[2], bucket))
+                rows.append((int(anchor[0] % np.uint64(buckets)), True, _to_blob(*(c[later] for c in (doc, variant, start, windows)))))
+            columns = [c[~later] for c in (doc, variant, start, windows, anchor, whole, more)]
+            bucket = (columns[4] % np.uint64(buckets)).astype(np.int64)
+            by = np.lexsort((columns[2], columns[0], bucket))
             columns, bucket = [c[by] for c in columns], bucket[by]
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             for a, b in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True):
                 rows.append((int(bucket[a]), False, _to_blob(*(c[a:b] for c in columns))))
             for i in range(0, len(rows), 512):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 512], strict=True), (pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["bucket", "later", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 512], strict=True), (pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["bucket", "later", "blob"])
 
-    return doc_text(docs).mapInArrow(run, "bucket long, later boolean, blob binary")
+    return docs.select("doc", "variant", "text").mapInArrow(run, "bucket int, later boolean, blob binary")
 
 
 def _hot_anchors(docs: DataFrame) -> np.ndarray:
-    """Anchors that many pieces of a sample of the documents share; at most HOT_SHARE. It only says how windows are dealt out."""
+    """The hot anchors by a sample of the documents; they only say how windows are dealt out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.uint64)
-        for _, texts in text_blocks(batches):
+        for _, _, texts in _blocks(batches):
             anchor, count = np.unique(pieces(texts, none)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(count.astype(np.int64))], ["anchor", "n"])
 
-    sample = doc_text(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    counted = sample.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    rows = counted.where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "anchor").limit(HOT_SHARE).collect()
+    sample = docs.select("doc", "variant", "text").where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0)
+    counted = written(sample.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST), "anchors")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    rows = counted.where(F.col("n") * HOT_MOST >= total).select("anchor").collect()
     return np.sort(np.array([r["anchor"] for r in rows], dtype=np.int64).view(np.uint64))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, place (start * 128 + windows), anchor: later places of equal pieces (anchor null), and first places of
-    pieces whose anchor other pieces have, too."""
-    blobs, at = [], 0
+    """doc, variant, place (start * 128 + windows), anchor: later places of equal pieces (anchor null), and first places of
+    pieces whose anchor other pieces have, too. A partition is one bucket."""
+    blobs, bucket = [], 0
     for b in batches:
-        for later, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for bucket, later, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             if later:
-                _, _, doc, start, windows = _from_blob(blob)
-                yield _places(doc, start, windows, None)
+                yield _places(*_from_blob(blob), None)
             else:
                 blobs.append(_from_blob(blob))
-                at += len(blobs[-1][0])
-    if not at:
+    if not blobs:
         return
-    anchor, whole, doc, start, windows = (np.concatenate(x) for x in zip(*blobs, strict=True))
+    doc, variant, start, windows, anchor, whole, more = (np.concatenate(x) for x in zip(*blobs, strict=True))
     del blobs
-    order, later = _later(anchor, whole, doc, start)
-    anchor, whole, doc, start, windows = (x[order] for x in (anchor, whole, doc, start, windows))
+    order, fresh, later = _later(doc, variant, start, anchor, whole, more)
+    doc, variant, start, windows, anchor = (x[order] for x in (doc, variant, start, windows, anchor))
     if later.any():
-        yield _places(doc[later], start[later], windows[later], None)
-    keep = np.r_[True, (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])]
-    anchor, doc, start, windows = (x[keep] for x in (anchor, doc, start, windows))
-    same = anchor[1:] == anchor[:-1]
-    shared = np.r_[same, False] | np.r_[False, same]
+        yield _places(*(x[later] for x in (doc, variant, start, windows)), None)
+    # Anchors with more than one piece.
+    first = np.ones(len(anchor), bool)
+    first[1:] = anchor[1:] != anchor[:-1]
+    group = np.cumsum(first) - 1
+    shared = (np.bincount(group[fresh]) > 1)[group] & ~later
     if shared.any():
-        yield _places(doc[shared], start[shared], windows[shared], anchor[shared])
+        name = (anchor[shared].astype(np.int64) << 24) | (bucket & 0xFFFFFF)
+        yield _places(*(x[shared] for x in (doc, variant, start, windows)), name)
 
 
-def _places(doc: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor: np.ndarray | None) -> pa.RecordBatch:
-    of = pa.nulls(len(doc), pa.int64()) if anchor is None else pa.array(anchor.view(np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start * 128 + windows), of], ["doc", "place", "anchor"])
+def _places(doc: np.ndarray, variant: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor: np.ndarray | None) -> pa.RecordBatch:
+    of = pa.nulls(len(doc), pa.int64()) if anchor is None else pa.array(anchor)
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(variant), pa.array(start * 128 + windows), of], ["doc", "variant", "place", "anchor"])
 
 
 class ColumnFile:
-    """One array of a collection, read and written from end to end; small ones stay in memory."""
+    """One array of a collection, read and written from end to end below a shared folder; small ones stay in memory."""
 
-    def __init__(self, kind: str):
-        self.kind, self.held, self.file = np.dtype(kind), None, None
+    def __init__(self, kind: str, folder: str):
+        self.kind, self.folder = np.dtype(kind), folder
+        self.held: np.ndarray | None = None
+        self.path: str | None = None
 
     def put(self, values: np.ndarray) -> None:
         """What is read next; the old file goes."""
@@ -247,23 +297,26 @@ class ColumnFile:
         values = values.astype(self.kind, copy=False)
         if values.nbytes <= FILE_MEMORY:
             self.held = values
-        else:
-            self.file = tempfile.TemporaryFile()
-            values.tofile(self.file)
+            return
+        files, root = fs.FileSystem.from_uri(self.folder)
+        files.create_dir(root, recursive=True)
+        self.path = f"{root}/{uuid.uuid4().hex}"
+        with files.open_output_stream(self.path) as f:
+            f.write(memoryview(np.ascontiguousarray(values)).cast("B"))
 
     def get(self) -> np.ndarray:
-        if self.file is None:
+        if self.path is None:
             return self.held
-        self.file.seek(0)
-        return np.fromfile(self.file, self.kind)
+        with fs.FileSystem.from_uri(self.folder)[0].open_input_stream(self.path) as f:
+            return np.frombuffer(f.read(), self.kind)
 
     def close(self) -> None:
-        if self.file is not None:
-            self.file.close()
-        self.held = self.file = None
+        if self.path is not None:
+            fs.FileSystem.from_uri(self.folder)[0].delete_file(self.path)
+        self.held = self.path = None
 
 
-def collection_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def collection_bwt(strings: list[bytes], folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """String number, suffix length and common prefix with the suffix before, of all non-empty suffixes in order.
 
     Strings end in marks that differ, in their order, and come before all bytes. Round j inserts the suffix of
@@ -271,7 +324,7 @@ def collection_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     stable sort), which only shifts when suffixes are inserted: the place of the suffix that a symbol begins is
     the symbol's own place in that sort. A new suffix shares with its neighbour of the same first symbol one more
     than the least common prefix between the two symbols' places. Common prefixes count up to 255. Each round
-    reads the files of the round before from end to end and writes new ones.
+    reads the files of the round before from end to end and writes new ones, below folder.
     """
     m = len(strings)
     size = np.array([len(s) for s in strings], dtype=np.int64)
@@ -286,7 +339,7 @@ def collection_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     shift, named = (8, "<u4") if size.max(initial=0) < 256 and m < 1 << 24 else (32, "<u8")
     symbol = symbols[np.where(size > 0, ends, 0)]
     keys = np.sort(symbol << bits | np.arange(m))
-    files = [ColumnFile(k) for k in (wide, named, "u1")]
+    files = [ColumnFile(k, folder) for k in (wide, named, "u1")]
     for f, x in zip(files, (keys, np.arange(m) << shift, np.zeros(m)), strict=True):
         f.put(x)
     newest = np.flatnonzero(size > 0)  # places of the suffixes of the round before that go on, and their strings
@@ -345,70 +398,87 @@ def collection_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     return name >> shift, name & ((1 << shift) - 1), common[m:].astype(np.int64)
 
 
-def later_windows(strings: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Document and start of each window of SPAN bytes that stands earlier in another of the strings."""
-    owner, length, common = collection_bwt(strings)
+def later_windows(strings: list[bytes], doc: np.ndarray, variant: np.ndarray, start: np.ndarray, folder: str) -> tuple[np.ndarray, ...]:
+    """Document, variant and start of each window of SPAN bytes that stands earlier in another of the strings."""
+    owner, length, common = collection_bwt(strings, folder)
     size = np.array([len(s) for s in strings], dtype=np.int64)
     full = common >= SPAN  # equal in SPAN bytes to the suffix before
-    member = full | np.r_[full[1:], False]
+    member = full.copy()
+    member[:-1] |= full[1:]
     owner, place, full = owner[member], (size[owner] - length)[member], full[member]
-    if not len(owner):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     kind = np.cumsum(~full)
-    d, s = doc[owner], start[owner] + place
-    order = np.lexsort((s, d, kind))
-    kind, d, s = kind[order], d[order], s[order]
-    later = np.r_[False, kind[1:] == kind[:-1]]
-    firsts = np.maximum.accumulate(np.where(later, 0, np.arange(len(kind))))
-    later &= (d != d[firsts]) | (s != s[firsts])
-    return d[later], s[later]
+    d, v, s = doc[owner], variant[owner], start[owner] + place
+    order = np.lexsort((s, v, d, kind))
+    kind, d, v, s = kind[order], d[order], v[order], s[order]
+    fresh = np.ones(len(kind), bool)
+    fresh[1:] = kind[1:] != kind[:-1]
+    later = _after(fresh, d, v, s)
+    return d[later], v[later], s[later]
+
+
+def _runs(d: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    """doc, variant, place of windows that begin one after the other, up to 127 a row."""
+    order = np.lexsort((s, v, d))
+    d, v, s = d[order], v[order], s[order]
+    same = (d[1:] == d[:-1]) & (v[1:] == v[:-1])
+    fresh = np.ones(len(d), bool)
+    fresh[1:] = ~same | (s[1:] != s[:-1])
+    d, v, s = d[fresh], v[fresh], s[fresh]
+    breaks = np.ones(len(d), bool)
+    breaks[1:] = (d[1:] != d[:-1]) | (v[1:] != v[:-1]) | (s[1:] != s[:-1] + 1)
+    n = np.arange(len(d))
+    first = np.flatnonzero((n - np.maximum.accumulate(np.where(breaks, n, 0))) % 127 == 0)
+    return pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(v[first]), pa.array(s[first] * 128 + np.diff(np.r_[first, len(d)]))], ["doc", "variant", "place"])
+
+
+def _collections(folder: str):
+    """doc, variant, place: later windows among the pieces of one partition (sorted by anchor; columns anchor, doc, variant, start, bytes)."""
 
+    def solve(held: list[tuple]) -> pa.RecordBatch:
+        _, doc, variant, start, strings = zip(*held, strict=True)
+        return _runs(*later_windows(list(strings), *(np.array(x, np.int64) for x in (doc, variant, start)), folder))
 
-def _collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, place: later windows among the pieces of one partition (sorted by anchor; columns anchor, doc, start, bytes)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if len(held) >= COLLECTION and row[0] != held[-1][0]:
+                    yield solve(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield solve(held)
+
+    return run
 
-    def solve(held: list[tuple]) -> pa.RecordBatch:
-        d, s = later_windows([h[3] for h in held], np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.int64))
-        order = np.lexsort((s, d))
-        d, s = d[order], s[order]
-        fresh = np.r_[True, (d[1:] != d[:-1]) | (s[1:] != s[:-1])] if len(d) else np.empty(0, bool)
-        d, s = d[fresh], s[fresh]
-        # Runs of starts, up to 127 a row.
-        breaks = np.r_[True, (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)] if len(d) else np.empty(0, bool)
-        run = np.arange(len(d)) - np.maximum.accumulate(np.where(breaks, np.arange(len(d)), 0)) if len(d) else np.empty(0, np.int64)
-        first = np.flatnonzero(run % 127 == 0)
-        return pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(s[first] * 128 + np.diff(np.r_[first, len(d)]))], ["doc", "place"])
-
-    held: list[tuple] = []
-    for b in batches:
-        for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            if len(held) >= COLLECTION and row[0] != held[-1][0]:
-                yield solve(held)
-                held = []
-            held.append(row)
-    if held:
-        yield solve(held)
+
+_CUT = "anchor long, doc long, variant long, start long, bytes binary"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """anchor, doc, start, bytes of the pieces that are asked for (columns doc, text, asked)."""
+    """anchor, doc, variant, start, bytes of the pieces that are asked for (columns doc, variant, text, asked); of large anchors, of each window."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    digest = xxhash.xxh3_64_intdigest
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "doc", "variant", "start", "bytes"])
+
     for b in batches:
         out: list[tuple] = []
-        for doc, text, asked in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+        for doc, variant, text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
             raw = (text.as_py() or "").encode()
             for q in asked:
                 start, windows = divmod(q["place"], 128)
-                out.append((q["anchor"], doc, start, raw[start : start + windows + SPAN - 1]))
+                if q["large"]:
+                    for k in range(start, start + windows):
+                        out.append((digest(raw[k : k + SPAN]) >> 1, doc, variant, k, raw[k : k + SPAN]))
+                else:
+                    out.append((q["anchor"], doc, variant, start, raw[start : start + windows + SPAN - 1]))
             if len(out) >= 8192:
-                yield _cut_batch(out)
+                yield batch(out)
                 out = []
         if out:
-            yield _cut_batch(out)
-
-
-def _cut_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "doc", "start", "bytes"])
+            yield batch(out)
 
 
 def covered(places: list[int], size: int) -> list[tuple[int, int]]:
@@ -433,26 +503,46 @@ def without(raw: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(ends, starts, strict=True))
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with columns __mr_doc and __mr_variant, which name each row's document; a null doc_id comes before all others."""
+    doc, key = F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)), F.xxhash64(docs["text"].cast("string"))
+    ids = docs.select(doc.alias("__mr_doc"), key.alias("key")).groupBy("__mr_doc").agg(F.min("key").alias("a"), F.max("key").alias("b"))
+    several = written(ids.where("a <> b").select("__mr_doc", F.lit(True).alias("__mr_several")), "several")
+    named = docs.withColumn("__mr_doc", doc)
+    n = several.count()
+    if not n:
+        return named.withColumn("__mr_variant", F.lit(0).cast("long"))
+    joined = named.join(F.broadcast(several) if n <= 1_000_000 else several, "__mr_doc", "left")
+    return joined.withColumn("__mr_variant", F.when(F.col("__mr_several"), F.xxhash64(F.col("text").cast("string"))).otherwise(F.lit(0).cast("long"))).drop("__mr_several")
+
+
 def _with_places(docs: DataFrame) -> DataFrame:
     """docs with a column __mr_places: the later windows of each row's document (null: none)."""
     spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = written(_scan(docs, buckets, _hot_anchors(docs)).repartition("bucket").mapInArrow(_meet, "doc long, place long, anchor long"), "places")
-    asked = met.where("anchor is not null").groupBy("doc").agg(F.collect_list(F.struct("place", "anchor")).alias("asked"))
-    texts = doc_text(docs).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "text")
-    cut = texts.join(asked, "doc").select("doc", "text", "asked").mapInArrow(_cut, "anchor long, doc long, start long, bytes binary")
-    found = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_collections, "doc long, place long")
-    every = met.where("anchor is null").select("doc", "place").unionAll(found)
-    lists = every.groupBy("doc").agg(F.collect_list("place").alias("__mr_places")).withColumnRenamed("doc", "__mr_doc")
-    keyed = docs.withColumn("__mr_key", F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)))
-    return keyed.join(lists, keyed["__mr_key"] == lists["__mr_doc"], "left").drop("__mr_key", "__mr_doc")
+    named = _named(docs)
+    texts = named.select(F.col("__mr_doc").alias("doc"), F.col("__mr_variant").alias("variant"), F.col("text").cast("string").alias("text"))
+    size = docs.select(F.sum(F.octet_length(docs["text"].cast("string")))).first()[0] or 0
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    met = written(_scan(texts, buckets, _hot_anchors(texts)).repartitionById(buckets, "bucket").mapInArrow(_meet, "doc long, variant long, place long, anchor long"), "places")
+    asked = met.where("anchor is not null")
+    large = asked.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("anchor", F.lit(True).alias("large"))
+    large = broadcast_if_small(large, "large")
+    told = asked.join(large, "anchor", "left").groupBy("doc", "variant").agg(F.collect_list(F.struct("place", "anchor", "large")).alias("asked"))
+    # A repeated row gives each piece again, at the same place.
+    cut = texts.join(told, ["doc", "variant"]).select("doc", "variant", "text", "asked").mapInArrow(_cut, _CUT)
+    folder = new_folder(spark, "columns")
+    found = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_collections(folder), "doc long, variant long, place long")
+    every = met.where("anchor is null").select("doc", "variant", "place").unionAll(found)
+    lists = every.groupBy("doc", "variant").agg(F.collect_list("place").alias("__mr_places")).withColumnsRenamed({"doc": "__mr_doc", "variant": "__mr_variant"})
+    return named.join(lists, ["__mr_doc", "__mr_variant"], "left").drop("__mr_doc", "__mr_variant")
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    Null texts are empty. Rows that repeat a doc_id are one document: their order among each other doesn't
-    count, and places found in one go in all. A null doc_id comes before all others. Extra columns aren't read.
+    Null texts are empty. Rows that repeat doc_id and text are one document. Rows that repeat a doc_id with another
+    text are documents of their own, neither earlier than the other. A null doc_id comes before all others. An
+    empty table has no rows. Extra columns aren't read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -466,7 +556,7 @@ def removals(docs: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_places(doc_text(docs)).select("doc_id", "text", "__mr_places").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_places(docs.select("doc_id", "text")).select("doc_id", "text", "__mr_places").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removed_texts(docs: DataFrame) -> DataFrame:

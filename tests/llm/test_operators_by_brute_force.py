@@ -105,7 +105,7 @@ def test_suffix_with_hot_anchors_and_parts(docs, spark, monkeypatch):
     whole = suffix.pieces(texts, none)
     monkeypatch.setattr(suffix, "PART", 130)
     parts = suffix.pieces(texts, none)
-    assert whole[4].sum() == parts[4].sum() == sum(len(t) - 99 for t in texts)
+    assert whole[5].sum() == parts[5].sum() == sum(len(t) - 99 for t in texts)
 
 
 def test_suffix_repeated_rows_null_ids_and_columns(spark):
@@ -113,15 +113,50 @@ def test_suffix_repeated_rows_null_ids_and_columns(spark):
     text = "".join(r.choice("abcdef") for _ in range(500))
     df = spark.createDataFrame([(1, text, 500, "x"), (1, text, 500, "x"), (2, text[:250] + "é" + text[250:], 501, "y"), (None, text[100:300], 200, "z")], "doc_id long, text string, n_chars int, __row string")
     got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix.removals(df).collect()}
-    # The row without id is first; rows that repeat an id are one document.
+    # The row without id is first; rows that repeat id and text are one document.
     assert got[None, 200] == 0 and got[1, 500] == 200 and got[2, 502] == 500
     kept = suffix.removed_texts(df)
     assert kept.columns == df.columns and kept.count() == 4
     assert {r.doc_id: (r.text, r.n_chars) for r in kept.collect()}[2] == ("é", 1)
 
 
+def plain_variants(rows: list[tuple]) -> dict[tuple, int]:
+    """Removed bytes of each document (doc_id, text): windows that start in a smaller doc_id, or earlier in the same text."""
+    documents = sorted({r for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0))
+    windows = lambda t: [t[s : s + 100] for s in range(len(t) - 99)]
+    least: dict[str, int | None] = {}
+    for i, t in documents:
+        for w in windows(t):
+            least.setdefault(w, i)
+    out = {}
+    for i, t in documents:
+        gone, own = [False] * len(t), set()
+        for s, w in enumerate(windows(t)):
+            if least[w] != i or w in own:
+                gone[s : s + 100] = [True] * 100
+            own.add(w)
+        out[i, t] = sum(gone)
+    return out
+
+
+@pytest.mark.parametrize("large", [1, 50_000])
+def test_suffix_rows_of_one_id_with_different_texts(spark, monkeypatch, large):
+    r = random.Random(15)
+    new = lambda n: "".join(r.choice("abcdef") for _ in range(n))
+    t, u, p = new(300), new(300), new(150)
+    rows = [(4, t), (5, t), (5, u), (5, u), (7, u[50:250] + new(60)), (8, p + new(90)), (8, new(40) + p), (8, p + p), (9, new(30) + p), (None, new(10) + p[:120]), (None, new(50) + p[:120])]
+    monkeypatch.setattr(suffix, "LARGE", large)
+    df = spark.createDataFrame([(*x, "x", 1) for x in rows], "doc_id long, text string, variant string, place int").repartition(4)
+    got = {(x.doc_id, x.kept_sha256, x.n_bytes): x.n_removed for x in suffix.removals(df).collect()}
+    want = plain_variants(rows)
+    assert want[5, u] == 0 and want[5, t] == 300 and want[7, rows[4][1]] >= 200
+    assert sorted((str(i), len(x), n) for (i, x), n in want.items()) == sorted((str(i), size, n) for (i, _, size), n in got.items())
+    kept = {(x.doc_id, x.text) for x in suffix.removed_texts(df).collect()}
+    assert (5, "") in kept and (5, u) in kept and (4, t) in kept
+
+
 @pytest.mark.parametrize("seed", range(3))
-def test_collection_bwt_is_the_sorted_suffixes(seed, monkeypatch):
+def test_collection_bwt_is_the_sorted_suffixes(seed, monkeypatch, tmp_path):
     r = random.Random(seed)
     if seed == 2:
         monkeypatch.setattr(suffix, "FILE_MEMORY", 0)
@@ -129,8 +164,9 @@ def test_collection_bwt_is_the_sorted_suffixes(seed, monkeypatch):
         strings = [bytes(r.choice(b"ab\xff") for _ in range(r.randint(0, 14))) for _ in range(r.randint(1, 7))]
         order = sorted(((tuple(s[p:]), i, len(s) - p) for i, s in enumerate(strings) for p in range(len(s))), key=lambda t: (t[0], t[1]))
         common = [0][: len(order)] + [next((k for k, (x, y) in enumerate(zip(a[0], b[0])) if x != y), min(len(a[0]), len(b[0]))) for a, b in zip(order, order[1:])]  # noqa: B905
-        owner, length, prefix = suffix.collection_bwt(strings)
+        owner, length, prefix = suffix.collection_bwt(strings, f"file://{tmp_path}")
         assert (owner.tolist(), length.tolist(), prefix.tolist()) == ([o[1] for o in order], [o[2] for o in order], common)
+    assert not list(tmp_path.iterdir())  # each round's files go when the next are written
 
 
 def plain_fingerprint(t: str | None) -> int:
