@@ -1,4 +1,9 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands propose pairs, the whole shingle sets decide."""
+"""Near copies at a Jaccard similarity of word shingles, by SimHash fingerprints in the Gray-order index.
+
+Fingerprints of 64 bits at similarity 0.8 differ in 10 bits on average, too many to deal them out by blocks of
+equal bits as for three bits. So the groups that the index looks through are bands of a MinHash signature; within
+a group it prunes by accumulated differences at DISTANCE bits; and the whole shingle sets decide on what is left.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACES, doc_text, text_blocks, written
+from millrace.llm.common import SPACES, doc_text, join_with_hot_keys, text_blocks, whole_groups, written
 from millrace.llm.components import components
+from millrace.llm.simhash import GrayIndex, gray_rank, majority, without
 
 SEED = 42
 WORDS = 5
@@ -20,6 +26,11 @@ SIMILARITY = 0.8
 #: A pair of similarity s shares no band with probability (1 - s ** ROWS) ** BANDS: 5e-8 at 0.8.
 BANDS = 32
 ROWS = 4
+#: Bits in which fingerprints of a pair may differ: over 24 of 64 at similarity 0.8 has a probability below 1e-4, and
+#: fingerprints of texts that have nothing in common differ in 24 or fewer with 0.03.
+DISTANCE = 24
+#: Members of a band that are looked through together; a larger band is dealt out by pairs of parts.
+GROUP = 20_000
 #: Shingles that are multiplied out together.
 BLOCK = 1 << 14
 
@@ -42,9 +53,13 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([digest(whole[a : b - 1], SEED) for a, b in zip(ends, ends[words:], strict=False)], dtype=np.uint64))
 
 
+def _signed(values: list[int]) -> list[int]:
+    return np.array(values, dtype=np.uint64).view(np.int64).tolist()
+
+
 def node(s: np.ndarray) -> int:
-    """What stands for a shingle set: its hash, as a signed long."""
-    return int(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED)], dtype=np.uint64).view(np.int64)[0])
+    """What stands for a shingle set: its hash."""
+    return xxhash.xxh64_intdigest(s.tobytes(), SEED)
 
 
 def bands(s: np.ndarray) -> list[int]:
@@ -55,19 +70,22 @@ def bands(s: np.ndarray) -> list[int]:
     for i in range(0, len(s), BLOCK):
         least = np.minimum(least, (s[None, i : i + BLOCK] * _ODD + _ADD).min(axis=1))
     rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), b) for b, r in enumerate(rows)], dtype=np.uint64).view(np.int64).tolist()
+    return _signed([xxhash.xxh64_intdigest(r.tobytes(), b) for b, r in enumerate(rows)])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n (shingles) and bands of each row."""
+    """doc_id, node, n (shingles), fp (SimHash of the set) and bands of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_blocks(batches):
             sets = [shingles(t) for t in texts]
-            columns = [pa.array(ids, pa.int64()), pa.array(list(map(node, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(bands, sets)), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "bands"])
+            columns = [
+                pa.array(ids, pa.int64()), pa.array(_signed(list(map(node, sets))), pa.int64()), pa.array(list(map(len, sets)), pa.int64()),
+                pa.array(_signed(list(map(majority, sets))), pa.int64()), pa.array(list(map(bands, sets)), pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "fp", "bands"])
 
-    return doc_text(docs).mapInArrow(run, "doc_id long, node long, n long, bands array<long>")
+    return doc_text(docs).mapInArrow(run, "doc_id long, node long, n long, fp long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -76,56 +94,51 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in text_blocks(batches):
             sets = [shingles(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(node, sets)), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(list(map(node, sets))), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
 
     return doc_text(docs).mapInArrow(run, "node long, shingles array<long>")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """node, n and label of each band's members, by node; columns key, node, n, label. Bands of one member are left out."""
-    read = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-    if not read:
-        return
-    key, *rest = (np.concatenate(x) for x in zip(*read, strict=True))
-    order = np.lexsort((rest[0], key))
-    key, rest = key[order], [x[order] for x in rest]
-    ends = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
-    for k in np.flatnonzero(np.diff(ends) > 1):
-        yield tuple(x[ends[k] : ends[k + 1]] for x in rest)
+def _sizes_allow(n: str, m: str) -> str:
+    return f"least({n}, {m}) >= {SIMILARITY} * greatest({n}, {m})"
 
 
-def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    u, v = (np.concatenate(x) for x in zip(*found, strict=True))
-    both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["u", "v"])
+def _to_first(members: DataFrame, total: int) -> DataFrame:
+    """u, v: each member of a band and the band's first, as far as sizes and fingerprints allow SIMILARITY."""
+    first = members.groupBy("key").agg(F.min(F.struct("node", "n", "fp")).alias("f"), F.count("*").alias("rows"))
+    both = join_with_hot_keys(members, first, "key", "rows", total)
+    return both.where(f"node <> f.node and {_sizes_allow('n', 'f.n')} and bit_count(fp ^ f.fp) <= {DISTANCE}").select(F.col("node").alias("u"), F.col("f.node").alias("v")).distinct()
 
 
-def _to_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """u, v: each member of a band and the band's first, where their sizes allow SIMILARITY."""
-    found = []
-    for nodes, n, _ in _runs(batches):
-        near = np.minimum(n[1:], n[0]) >= SIMILARITY * np.maximum(n[1:], n[0])
-        found.append((nodes[1:][near], np.full(near.sum(), nodes[0])))
-    if found:
-        yield _pairs(found)
+def _cells(labelled: DataFrame, total: int) -> DataFrame:
+    """cell, node, n, fp, label: the members of bands that have several labels, once for each cell they are looked at in.
+
+    A band of up to GROUP members is one cell. In a larger one the members of its most frequent label make up some
+    parts, all others some more, and a cell is a pair of parts, at least one of them of the others.
+    """
+    counts = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
+    bands_of = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"), F.count("*").alias("k")).where("k > 1")
+    parts = bands_of.select("key", F.col("top.label").alias("main"), F.col("m").alias("rows"), F.expr(f"if(m <= {GROUP}, 0, cast(ceil(top.c / {GROUP}) as int))").alias("p"), F.expr(f"if(m <= {GROUP}, 0, cast(ceil((m - top.c) / {GROUP}) as int))").alias("q"))
+    placed = join_with_hot_keys(labelled, written(parts, "bands"), "key", "rows", total)
+    part = placed.withColumn("part", F.expr("if(p = 0, 0, if(label = main, pmod(xxhash64(node), p), p + pmod(xxhash64(node), q)))"))
+    others = "transform(sequence(p, p + q - 1), j -> struct(cast(least(part, j) as long) as i, cast(greatest(part, j) as long) as j))"
+    mains = "transform(sequence(0, p - 1), i -> struct(cast(i as long) as i, cast(part as long) as j))"
+    pairs = F.expr(f"case when p = 0 then array(struct(0L as i, 0L as j)) when part < p then {others} else concat({mains}, {others}) end")
+    return part.withColumn("at", F.explode(pairs)).select(F.expr("xxhash64(key, at.i, at.j)").alias("cell"), "node", "n", "fp", "label")
 
 
 def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """u, v: all pairs of a band that aren't in one component yet, where their sizes allow SIMILARITY."""
-    found, size = [], 0
-    for nodes, n, label in _runs(batches):
-        if (label == label[0]).all():
-            continue
-        for i in range(len(nodes) - 1):
-            near = (label[i + 1 :] != label[i]) & (np.minimum(n[i + 1 :], n[i]) >= SIMILARITY * np.maximum(n[i + 1 :], n[i]))
-            if near.any():
-                found.append((nodes[i + 1 :][near], np.full(near.sum(), nodes[i])))
-                size += len(found[-1][0])
-            if size > 1 << 20:
-                yield _pairs(found)
-                found, size = [], 0
-    if found:
-        yield _pairs(found)
+    """u, v: pairs of a cell (rows sorted by cell) of different labels, as far as fingerprints and sizes allow SIMILARITY."""
+    for cell, nodes, n, fp, label in whole_groups(batches):
+        fp = fp.view(np.uint64)
+        order = np.lexsort((gray_rank(fp), cell))
+        cell, nodes, n, fp, label = (x[order] for x in (cell, nodes, n, fp, label))
+        _, first, of = np.unique(label, return_index=True, return_inverse=True)
+        for a, b in GrayIndex(fp, cell).pairs(DISTANCE, first[of]):
+            near = np.minimum(n[a], n[b]) >= SIMILARITY * np.maximum(n[a], n[b])
+            u, v = nodes[a[near]], nodes[b[near]]
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -139,24 +152,28 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, component_id of each row with a doc_id: the smallest doc_id reached by links of SIMILARITY or more.
 
-    Equal sets are one node. Members of a band are held against its first; then all pairs of a band that no link
-    connects so far, so a dense group costs no quadratic time and no proposed pair stays unseen.
+    Equal sets are one node; texts without words are one. Members of a band are held against its first; then all
+    pairs of a band that no link connects so far, so a dense group costs no quadratic time and no proposed pair stays
+    unseen. Only doc_id and text are read; an empty table has no rows.
     """
     marked = written(signatures(docs.where("doc_id is not null")), "signatures")
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("own"), F.min("n").alias("n"), F.min("bands").alias("bands"))
-    each = nodes.select(F.explode("bands").alias("key"), "node", "n", "own")
+    nodes = written(marked.groupBy("node").agg(F.min("doc_id").alias("own"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.count("*").alias("rows")), "nodes")
+    each = nodes.select(F.explode("bands").alias("key"), "node", "n", "fp", "own")
     shared = each.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     members = written(each.join(shared, "key"), "members")
+    total = members.count()
     wanted = members.select(F.col("own").alias("doc_id")).distinct()
     sets = written(shingle_sets(doc_text(docs).join(wanted, "doc_id")).dropDuplicates(["node"]), "shingles")
-    first = written(_similar(members.select("key", "node", "n", F.col("node").alias("label")).repartition("key").mapInArrow(_to_first, "u long, v long").distinct(), sets), "links")
+    first = written(_similar(_to_first(members, total), sets), "links")
     labels = components(first)
-    labelled = members.join(labels.withColumnRenamed("u", "node"), "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    rest = _similar(labelled.repartition("key").mapInArrow(_between, "u long, v long").distinct(), sets)
+    labelled = written(members.join(labels.withColumnRenamed("u", "node"), "node", "left").select("key", "node", "n", "fp", F.coalesce("label", "node").alias("label")), "labelled")
+    cells = _cells(labelled, total).repartition("cell").sortWithinPartitions("cell")
+    rest = _similar(cells.mapInArrow(_between, "u long, v long").distinct(), sets)
     labels = components(first.unionAll(rest)).withColumnRenamed("u", "node")
-    named = nodes.join(labels, "node", "left").select("node", "own", F.coalesce("label", "node").alias("label"))
+    named = nodes.join(labels, "node", "left").select("node", "own", "rows", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("own").alias("component_id"))
-    return marked.select("doc_id", "node").join(named.join(least, "label").select("node", "component_id"), "node").select("doc_id", "component_id")
+    found = written(named.join(least, "label").select("node", "component_id", "rows"), "components")
+    return join_with_hot_keys(marked.select("doc_id", "node"), found, "node", "rows", marked.count()).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -164,5 +181,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat a doc_id all stay, as does a row without doc_id.
     """
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, near_duplicates(docs))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import doc_text, text_blocks, written
+from millrace.llm.common import broadcast_if_small, doc_text, join_with_hot_keys, text_blocks, whole_groups, written
 from millrace.llm.components import components
 
 SEED = 42
@@ -43,8 +43,13 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
         ends = list(accumulate((len(p) + 1 for p in parts), initial=0))
         digest = xxhash.xxh64_intdigest
         hashes = [digest(whole[a : b - 1], SEED) for a, b in zip(ends, ends[words:], strict=False)]
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit hashes; 0 of none."""
     n = len(hashes)
-    bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
     most = 2 * bits.sum(axis=0, dtype=np.int64) > n
     return int(np.packbits(most, bitorder="little").view("<u8")[0])
 
@@ -118,11 +123,16 @@ class GrayIndex:
 
         Pairs of nodes whose fingerprints are all in one component already are dropped unseen.
         """
-        n = len(self.bits[0])
-        parent = np.arange(n)
-        if n > 1:
+        parent = np.arange(len(self.bits[0]))
+        if len(parent) > 1:
             close = np.flatnonzero((self.groups[0][1:] == self.groups[0][:-1]) & (np.bitwise_count(self.bits[0][1:] ^ self.bits[0][:-1]) <= distance))
             _unite(parent, close, close + 1)
+        for a, b in self.pairs(distance, parent):
+            _unite(parent, a, b)
+        return _roots(parent, np.arange(len(parent)))
+
+    def pairs(self, distance: int, parent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a group within distance, a part at a time, but for those of one component as `parent` has it by then."""
         top = len(self.masks) - 1
         nodes = np.arange(len(self.masks[top]))
         zero = np.zeros(len(nodes), dtype=np.uint64)
@@ -134,7 +144,9 @@ class GrayIndex:
             keep = differ <= distance
             a, b, differ, seen = a[keep], b[keep], differ[keep], both[keep]
             if level == 0:
-                _unite(parent, a, b)
+                apart = (a != b) & (_roots(parent, a) != _roots(parent, b))
+                if apart.any():
+                    yield a[apart], b[apart]
                 continue
             low, high = self._spread(level, parent)
             keep = ~((low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b]))
@@ -146,12 +158,12 @@ class GrayIndex:
             of = np.repeat(np.arange(len(a)), count)
             k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
             ca, cb = a0[of] + k // wide[of], b0[of] + k % wide[of]
-            keep = ca < cb if level == 1 else ca <= cb
+            # Of a node and itself each pair of children counts once.
+            keep = (a[of] != b[of]) | (ca < cb if level == 1 else ca <= cb)
             ca, cb, of = ca[keep], cb[keep], of[keep]
             for i in range(0, len(ca), FRONT):
                 part = of[i : i + FRONT]
                 stack.append((level - 1, ca[i : i + FRONT], cb[i : i + FRONT], differ[part], seen[part]))
-        return _roots(parent, np.arange(n))
 
     def _spread(self, level: int, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The least and the greatest component below each node of a level."""
@@ -162,21 +174,17 @@ class GrayIndex:
 
 
 def local_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """u, v: links that connect what is linked within the groups of one partition (columns key, fp)."""
-    read = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
-    if not read:
-        return
-    key, fp = (np.concatenate(x) for x in zip(*read, strict=True))
-    fp = fp.view(np.uint64)
-    order = np.lexsort((gray_rank(fp), key))
-    key, fp = key[order], fp[order]
-    alone = np.r_[True, key[1:] != key[:-1]] & np.r_[key[1:] != key[:-1], True]
-    key, fp = key[~alone], fp[~alone]
-    if not len(fp):
-        return
-    root = GrayIndex(fp, key).join(DISTANCE)
-    linked = root != np.arange(len(fp))
-    yield pa.RecordBatch.from_arrays([pa.array(fp[linked].view(np.int64)), pa.array(fp[root[linked]].view(np.int64))], ["u", "v"])
+    """u, v: links that connect what is linked within the groups of one partition (columns key, fp; sorted by key)."""
+    for key, fp in whole_groups(batches):
+        fp = fp.view(np.uint64)
+        order = np.lexsort((gray_rank(fp), key))
+        key, fp = key[order], fp[order]
+        alone = np.r_[True, key[1:] != key[:-1]] & np.r_[key[1:] != key[:-1], True]
+        key, fp = key[~alone], fp[~alone]
+        if len(fp):
+            root = GrayIndex(fp, key).join(DISTANCE)
+            linked = root != np.arange(len(fp))
+            yield pa.RecordBatch.from_arrays([pa.array(fp[linked].view(np.int64)), pa.array(fp[root[linked]].view(np.int64))], ["u", "v"])
 
 
 def links(fps: DataFrame, hot_group: int = HOT_GROUP) -> DataFrame:
@@ -194,16 +202,14 @@ def links(fps: DataFrame, hot_group: int = HOT_GROUP) -> DataFrame:
     hot = keyed.groupBy("key").count().where(F.col("count") > hot_group).select("key", F.lit(True).alias("hot"))
     joined = keyed.join(hot, "key", "left")
     # The other bits, closed up: below the block as they are, above it moved down.
-    at = F.expr(f"cast({width} * b as int)")
     under = F.expr(f"fp & (shiftleft(1L, cast({width} * b as int)) - 1)")
     over = F.when(F.col("b") == BLOCKS - 1, F.lit(0)).otherwise(F.expr(f"shiftleft(shiftrightunsigned(fp, cast({width} * (b + 1) as int)), cast({width} * b as int))"))
     rest = under.bitwiseOR(over)
     fine = (64 - width) // BLOCKS
     subkeys = F.array(*((F.lit(1 + s) * (1 << fine) + part(rest, fine * s, fine)) for s in range(BLOCKS)))
     split = joined.select("fp", "key", F.explode(F.when(F.col("hot"), subkeys).otherwise(F.array(F.lit(0).cast("long")))).alias("sub"))
-    del at
     group = (F.col("key") * (1 << (fine + 3)) + F.col("sub")).alias("key")
-    return split.select(group, "fp").repartition("key").mapInArrow(local_links, "u long, v long")
+    return split.select(group, "fp").repartition("key").sortWithinPartitions("key").mapInArrow(local_links, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, hot_group: int = HOT_GROUP) -> DataFrame:
@@ -214,14 +220,14 @@ def near_duplicates(docs: DataFrame, hot_group: int = HOT_GROUP) -> DataFrame:
     doc_id takes part but never names a component unless none of its component has one.
     """
     marked = written(fingerprints(docs), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("own"))
+    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("own"), F.count("*").alias("rows")), "nodes")
     labels = components(links(nodes.select("fp"), hot_group))
     roots = labels.select("label").distinct().select(F.col("label").alias("u"), "label")
-    of = nodes.join(labels.unionAll(roots).withColumnRenamed("u", "fp"), "fp")
+    of = nodes.select("fp", "own").join(labels.unionAll(roots).withColumnRenamed("u", "fp"), "fp")
     least = of.groupBy("label").agg(F.min("own").alias("component"))
     linked = of.join(least, "label").select("fp", "component")
-    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "own").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = written(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "own").alias("component_id"), "rows"), "components")
+    return join_with_hot_keys(marked, named, "fp", "rows", marked.count()).select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: str = "fp") -> F.Column:
@@ -234,5 +240,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat a doc_id all stay, as does a row without doc_id.
     """
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, near_duplicates(docs))
+
+
+def without(docs: DataFrame, components: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id isn't its component_id. Texts stay where they are as long as the ids are few."""
+    gone = components.where("doc_id <> component_id").select(F.col("doc_id").alias("__mr_gone")).distinct()
+    return docs.join(broadcast_if_small(gone, "gone"), docs["doc_id"].cast("long") == F.col("__mr_gone"), "left_anti").select(*docs.columns)

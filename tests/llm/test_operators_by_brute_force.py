@@ -547,6 +547,15 @@ def test_importance(docs, empty, spark):
     assert importance.resample(docs, labels.limit(0)).count() == len(TEXTS)
 
 
+def test_noise_is_gumbel_s():
+    """Over many documents of equal weight, the mean and the variance of the noise are those of the distribution."""
+    draws = np.array([importance.key(3.0, 5, i) - 3.0 for i in range(20_000)])
+    assert abs(draws.mean() - 0.5772) < 0.03 and abs(draws.var() - np.pi**2 / 6) < 0.06
+    # Of two documents that differ by log 3 in weight, the first comes before the other three times in four.
+    ahead = [importance.key(math.log(3), 1, i) > importance.key(0.0, 1, i + 50_000) for i in range(20_000)]
+    assert abs(np.mean(ahead) - 0.75) < 0.01
+
+
 def test_kth_largest(spark):
     r = random.Random(8)
     values = [r.getrandbits(64) - (1 << 63) for _ in range(300)] + [0, -1, 5, 5, 5]
