@@ -36,15 +36,16 @@ def letters() -> np.ndarray:
 
 
 def ngrams(text: str) -> np.ndarray:
-    """All n-grams of a text as numbers (21 bits a letter, word edges 0 in longer ones); none without letters."""
+    """All n-grams of a text as numbers (21 bits a letter, word edges as spaces in longer ones); none without letters."""
     c = letters()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
     c = np.concatenate(([0], c, [0]))
     c = c[np.r_[True, (c[1:] != 0) | (c[:-1] != 0)]]  # runs of other characters become one edge
     if len(c) < 3:
         return np.empty(0, np.int64)
-    found, gram = [c[c != 0]], c
+    marked = np.where(c == 0, ord(" "), c)
+    found, gram = [c[c != 0]], marked
     for n in range(2, LONGEST + 1):
-        gram = (gram[:-1] << 21) | c[n - 1 :]
+        gram = (gram[:-1] << 21) | marked[n - 1 :]
         good = np.ones(len(gram), bool)
         for k in range(1, n - 1):  # an edge stands first or last only
             good &= c[k : k + len(gram)] != 0

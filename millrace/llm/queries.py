@@ -38,7 +38,7 @@ def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.digests(telephony.store(table(spark, sf_dir, "documents")))
+    return telephony.digests(telephony.to_pcm(telephony.store(table(spark, sf_dir, "documents"))))
 
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,62 +156,77 @@ def store(docs: DataFrame, kind: int = MULAW) -> DataFrame:
     return doc_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def pcm_wav(media: bytes) -> bytes:
+    """A WAV file of telephony audio as 16-bit PCM at twice its rate."""
+    kind, rate, data = read_wav(media)
+    return wav(resample_double(expand(kind, data)).tobytes(), PCM, 2 * rate)
+
+
 def to_pcm(media: DataFrame) -> DataFrame:
-    """doc_id, pcm: each media value expanded and stored as 16-bit PCM WAV at twice its rate; null stays null."""
+    """doc_id, n_bytes, media, and pcm: each media value expanded and stored as 16-bit PCM WAV at twice its rate; null stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 64):
-                part = b.slice(i, 64)
-                out = []
-                for m in part.column(1).to_pylist():
-                    if m is not None:
-                        kind, rate, data = read_wav(m)
-                        m = wav(resample_double(expand(kind, data)).tobytes(), PCM, 2 * rate)
-                    out.append(m)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["doc_id", "pcm"])
+            a, size = 0, 0
+            for z, m in enumerate(b.column(2), 1):
+                size += len(m.as_buffer()) if m.is_valid else 0
+                if size >= 2 << 20 or z == b.num_rows:
+                    part = b.slice(a, z - a)
+                    out = [None if m is None else pcm_wav(m) for m in part.column(2).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], ["doc_id", "n_bytes", "media", "pcm"])
+                    a, size = z, 0
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, pcm binary")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, media binary, pcm binary")
 
 
-def _features(data: list[bytes]) -> list[str]:
-    """For each payload the mean absolute sample as mu-law, A-law and ADPCM, and a checksum of its PCM at 16 kHz."""
+def _features(data: list[bytes], pcm: list[bytes]) -> list[str]:
+    """For each payload the mean absolute sample as mu-law, A-law and ADPCM, and of its PCM the mean power and the sign changes."""
     raw = np.frombuffer(b"".join(data), np.uint8)
     edges = np.cumsum([0, *map(len, data)])
-    law, other = mulaw_table()[raw], np.abs(alaw_table().astype(np.int32))[raw]
+    law, other = np.abs(mulaw_table().astype(np.int32))[raw], np.abs(alaw_table().astype(np.int32))[raw]
     ima = np.abs(decode_ima(raw.reshape(-1, BLOCK)).astype(np.int32)).sum(axis=1, dtype=np.int64)
     starts = edges[:-1]
-    sums = [np.add.reduceat(np.abs(law.astype(np.int32)), starts, dtype=np.int64), np.add.reduceat(other, starts, dtype=np.int64), np.add.reduceat(ima, starts // BLOCK)]
+    sums = [np.add.reduceat(law, starts, dtype=np.int64), np.add.reduceat(other, starts, dtype=np.int64), np.add.reduceat(ima, starts // BLOCK)]
     counts = [np.diff(edges), np.diff(edges), np.diff(edges) // BLOCK * (1 + 2 * (BLOCK - 4))]
     means = [(s // n).tolist() for s, n in zip(sums, counts, strict=True)]
-    pcm = [zlib.crc32(resample_double(law[a:b]).tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return [f"mulaw={u} alaw={a} ima={d} pcm16k={c:08x}" for u, a, d, c in zip(*means, pcm, strict=True)]
+    wide = np.frombuffer(b"".join(pcm), "<i2").astype(np.int64)
+    at = np.cumsum([0, *(len(p) // 2 for p in pcm)])
+    power = (np.add.reduceat(wide * wide, at[:-1]) // np.diff(at)).tolist()
+    turns = np.r_[False, (wide[1:] < 0) != (wide[:-1] < 0)]
+    turns[at[:-1]] = False
+    changes = np.add.reduceat(turns, at[:-1], dtype=np.int64).tolist()
+    return [f"mulaw={u} alaw={a} ima={d} power={w} changes={c}" for u, a, d, w, c in zip(*means, power, changes, strict=True)]
+
+
+_DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_crc32 long"
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, from the stored bytes."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pcm_bytes, pcm_crc32,
+    all from the stored bytes; `media` is to_pcm()."""
 
-    def rows(ids: list, sizes: list, media: list[bytes]) -> pa.RecordBatch:
-        data = [read_wav(m)[2] for m in media]
+    def rows(ids: list, sizes: list, media: list[bytes], pcm: list[bytes]) -> pa.RecordBatch:
+        data, wide = [read_wav(m)[2] for m in media], [read_wav(p)[2] for p in pcm]
         columns = [
             pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(map(len, data), pa.int64()), pa.array([hashlib.sha256(d).hexdigest() for d in data]),
-            pa.array([zlib.crc32(d[-BLOCK:]) for d in data], pa.int64()), pa.array(map(len, media), pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(_features(data)),
+            pa.array([zlib.crc32(d[-BLOCK:]) for d in data], pa.int64()), pa.array(map(len, media), pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]),
+            pa.array(_features(data, wide)), pa.array(map(len, pcm), pa.int64()), pa.array(map(zlib.crc32, pcm), pa.int64()),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        return pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in _DIGESTS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sizes, held, size = [], [], [], 0
-            for i, n, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            ids, sizes, held, wide, size = [], [], [], [], 0
+            for i, n, m, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 ids.append(i)
                 sizes.append(n)
                 held.append(m.as_py())
+                wide.append(p.as_py())
                 size += len(held[-1])
                 if size >= 2 << 20:
-                    yield rows(ids, sizes, held)
-                    ids, sizes, held, size = [], [], [], 0
+                    yield rows(ids, sizes, held, wide)
+                    ids, sizes, held, wide, size = [], [], [], [], 0
             if ids:
-                yield rows(ids, sizes, held)
+                yield rows(ids, sizes, held, wide)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(run, _DIGESTS)

@@ -373,26 +373,64 @@ def test_telephony_decoders():
     assert (wide[::2] == tone).all() and np.abs(wide[41:700:2] - 8000 * np.sin((np.arange(20, 350) + 0.5) * 0.3)).max() < 60
 
 
+def plain_double(samples: list[int]) -> list[int]:
+    """Twice the rate by plain sums: eight Hann-windowed sinc taps around each new sample, edges repeated."""
+    taps = [math.sin(math.pi * (k - 3.5)) / (math.pi * (k - 3.5)) * math.cos(math.pi * (k - 3.5) / 9) ** 2 for k in range(8)]
+    taps = [t / sum(taps) for t in taps]
+    at = lambda i: samples[min(max(i, 0), len(samples) - 1)]
+    out = []
+    for i, s in enumerate(samples):
+        between = sum(t * at(i - 3 + k) for k, t in enumerate(taps))
+        out += [s, max(-32768, min(32767, round(between)))]
+    return out
+
+
+def plain_mulaw(byte: int) -> int:
+    byte = ~byte & 255
+    size = ((2 * (byte & 15) + 33) << (byte >> 4 & 7)) - 33
+    return -4 * size if byte & 128 else 4 * size
+
+
+def plain_alaw(byte: int) -> int:
+    byte ^= 0x55
+    e, m = byte >> 4 & 7, byte & 15
+    size = (2 * m + 1) * 8 if e == 0 else ((2 * m + 33) << e) * 4
+    return size if byte & 128 else -size
+
+
 def test_telephony(docs, empty):
-    media = telephony.store(docs)
-    got = by_id(telephony.digests(media))
-    files = by_id(media)
+    media = telephony.to_pcm(telephony.store(docs))
+    got, files = by_id(telephony.digests(media)), by_id(media)
+    assert [telephony.mulaw_table()[b] for b in range(256)] == [plain_mulaw(b) for b in range(256)]
+    assert [telephony.alaw_table()[b] for b in range(256)] == [plain_alaw(b) for b in range(256)]
     for i, t in enumerate(TEXTS):
         raw = (t or "").encode()
         padded = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
-        kind, rate, data = telephony.read_wav(bytes(files[i].media))
-        assert (kind, rate, data) == (telephony.MULAW, 8000, padded)
-        r = got[i]
+        r, stored, pcm = got[i], bytes(files[i].media), bytes(files[i].pcm)
+        assert telephony.read_wav(stored) == (telephony.MULAW, 8000, padded)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
-        assert (r.media_bytes, r.media_sha256) == (len(files[i].media), hashlib.sha256(bytes(files[i].media)).hexdigest())
-        pcm = telephony.resample_double(telephony.mulaw_table()[np.frombuffer(padded, np.uint8)])
-        mean = lambda x: int(np.abs(np.array(x, dtype=np.int64)).sum()) // len(x)
-        ima = [v for k in range(0, len(padded), 64) for v in plain_ima(padded[k : k + 64])] if len(padded) < 2000 else None
-        if ima:
-            assert r.feature == f"mulaw={mean(telephony.mulaw_table()[list(padded)])} alaw={mean(telephony.alaw_table()[list(padded)])} ima={mean(ima)} pcm16k={zlib.crc32(pcm.tobytes()):08x}"
-    pcm = by_id(telephony.to_pcm(media))
-    assert telephony.read_wav(bytes(pcm[3].pcm))[:2] == (telephony.PCM, 16000)
-    assert telephony.digests(telephony.store(empty)).count() == 0
+        assert (r.media_bytes, r.media_sha256, r.pcm_bytes, r.pcm_crc32) == (len(stored), hashlib.sha256(stored).hexdigest(), len(pcm), zlib.crc32(pcm))
+        kind, rate, data = telephony.read_wav(pcm)
+        samples = np.frombuffer(data, "<i2").tolist()
+        assert (kind, rate, len(samples)) == (telephony.PCM, 16000, 2 * len(padded))
+        if len(padded) < 1500:
+            law = [plain_mulaw(b) for b in padded]
+            wide = plain_double(law)
+            # Sums in single precision may round the other way.
+            assert samples[::2] == law and max(abs(a - b) for a, b in zip(samples, wide, strict=True)) <= 1
+            mean = lambda x: sum(map(abs, x)) // len(x)
+            ima = [v for k in range(0, len(padded), 64) for v in plain_ima(padded[k : k + 64])]
+            power, changes = sum(x * x for x in samples) // len(samples), sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:], strict=False))
+            assert r.feature == f"mulaw={mean(law)} alaw={mean([plain_alaw(b) for b in padded])} ima={mean(ima)} power={power} changes={changes}"
+    assert telephony.digests(telephony.to_pcm(telephony.store(empty))).count() == 0
+
+
+@pytest.mark.parametrize("kind", [telephony.ALAW, telephony.IMA])
+def test_other_kinds_are_stored_as_pcm(docs, kind):
+    for r in telephony.to_pcm(telephony.store(docs, kind)).collect()[:20]:
+        data = telephony.read_wav(bytes(r.media))[2]
+        law = [plain_alaw(b) for b in data] if kind == telephony.ALAW else [v for k in range(0, len(data), 64) for v in plain_ima(data[k : k + 64])]
+        assert np.frombuffer(telephony.read_wav(bytes(r.pcm))[2], "<i2")[::2].tolist() == law
 
 
 def plain_squares(lengths: list[int], size: int) -> list[tuple[int, int]]:
@@ -488,25 +526,57 @@ def test_held_out_accuracy_on_the_driver_s_documents(spark):
     assert sum(r.lang_pred == true[r.doc_id] for r in held) / len(held) > 0.98
 
 
-def plain_ranked(text: str, most: int) -> list[tuple]:
+def plain_counts(text: str) -> dict[int, int]:
     clean = "".join(x if (x := (c.lower() if len(c.lower()) == 1 else c)).isalpha() else " " for c in text)
     counts: dict[tuple, int] = {}
     for w in clean.split():
         marked = " " + w + " "
         for n in (1, 2, 3):
             for i in range(len(marked) - n + 1):
-                g = tuple(ord(c) if c != " " else 0 for c in marked[i : i + n])
-                if n == 1 and g == (0,):
+                g = tuple(map(ord, marked[i : i + n]))
+                if g == (32,):
                     continue
                 counts[g] = counts.get(g, 0) + 1
     code = lambda g: sum(c << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
-    return [code(g) for g in sorted(counts, key=lambda g: (-counts[g], code(g)))[:most]]
+    return {code(g): n for g, n in counts.items()}
 
 
-def test_ngrams_of_words_with_edges():
-    for text in ("Hello, hello World!", "a b a", "don't stop", "é1é"):
-        mine = sorted(langid.ranked(text, 10_000).tolist())
-        assert set(plain_ranked(text, 10_000)) == set(mine)
+def plain_ranked(text: str, most: int) -> list[int]:
+    """The n-grams of most occurrences, at ties those of the smaller number first."""
+    counts = plain_counts(text)
+    return sorted(counts, key=lambda g: (-counts[g], g))[:most]
+
+
+def plain_identify(rows: list[tuple]) -> dict[int, tuple]:
+    """lang_pred and score of each text by profiles and out-of-place sums over plain dicts; rows are doc_id, text, lang."""
+    counts: dict[str, dict[int, int]] = {}
+    for i, t, lang in rows:
+        if lang is not None and t is not None and (i is None or zlib.crc32(str(i).encode()) % 4 != 2):
+            own = counts.setdefault(lang, {})
+            for g, n in plain_counts(t).items():
+                own[g] = own.get(g, 0) + n
+    profiles = {lang: {g: k for k, g in enumerate(sorted(c, key=lambda g: (-c[g], g))[: langid.PROFILE])} for lang, c in counts.items()}
+    out = {}
+    for i, t, _ in rows:
+        grams = plain_ranked(t or "", langid.RANKED)
+        off = {lang: sum(abs(p[g] - k) if g in p else langid.PROFILE for k, g in enumerate(grams)) for lang, p in profiles.items()}
+        best = min(sorted(off), key=off.get) if grams and off else "und"
+        out[i] = (best, 1 - off[best] / (langid.PROFILE * len(grams)) if best != "und" else 0.0)
+    return out
+
+
+def test_ngrams_are_ranked_as_by_plain_counts():
+    for text in ("Hello, hello World!", "a b a", "don't stop", "é1é", "", "1 2", *[t for t in TEXTS if t]):
+        for most in (5, 300, 10_000):
+            assert langid.ranked(text, most).tolist() == plain_ranked(text, most), text
+
+
+def test_distances_and_scores_by_brute_force(docs):
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.select("doc_id", "text", "lang").collect()]
+    want = plain_identify(rows)
+    got = by_id(langid.identify(docs))
+    assert {i: r.lang_pred for i, r in got.items()} == {i: w[0] for i, w in want.items()}
+    assert all(r.score == pytest.approx(want[i][1], abs=1e-12) for i, r in got.items())
 
 
 def plain_grams(text: str | None) -> list[int]:
