@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from millrace import results
 from millrace.functions import storage
 from millrace.plans.catalog import query, run, simple, table
+from millrace.plans.execution import COMPLETED, Execution
 from millrace.plans.workflow import Workflow
 from millrace.registry import make
 from millrace.sources import apis
 from millrace.streaming import streams
+from millrace.viz import charts
 
 
 def _nations(spark, sf_dir):
@@ -270,7 +272,7 @@ def filter_is_null_some(spark, sf_dir):
     return run(spark, "Filter", df, predicates=[{"attribute": "v", "condition": "is null", "value": None}, {"attribute": "p", "condition": "is null", "value": None}]).drop("p")
 
 
-simple("regex_ignore_case", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '(?i)X')", "Regex", ["part(p_partkey, p_name)"], attribute="p_name", regex="X", caseInsensitive=True)
+simple("regex_ignore_case", "SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '(?i)^small')", "Regex", ["part(p_partkey, p_type)"], attribute="p_type", regex="^small", caseInsensitive=True)
 
 
 @query("SELECT n_nationkey, n_name, range, row_number() OVER (PARTITION BY range ORDER BY n_nationkey)::INTEGER AS place FROM (SELECT n_nationkey, n_name, least(greatest(n_nationkey // 6, 0), 3)::INTEGER AS range FROM nation)")
@@ -283,3 +285,86 @@ def sort_partitions_order(spark, sf_dir):
     rows = spark.read.parquet(path)
     first = rows.groupBy("range").agg(F.min("m").alias("first"))
     return rows.join(first, "range").select("n_nationkey", "n_name", "range", (F.col("m") - F.col("first") + 1).cast("int").alias("place"))
+
+
+# Charts with a column for each role, and those that the first catalog has no SQL for ---------------------------------------
+
+
+def _chart(spark, df, kind: str, **properties):
+    return make(kind, **properties).prepare(df)
+
+
+@query("SELECT l_shipdate AS date, l_extendedprice AS open, l_quantity AS high, l_discount AS low, l_tax AS close FROM lineitem")
+def viz_candlestick_roles(spark, sf_dir):
+    return _chart(spark, table(spark, sf_dir, "lineitem"), "CandlestickChart", date="l_shipdate", open="l_extendedprice", high="l_quantity", low="l_discount", close="l_tax")
+
+
+@query("SELECT o_orderdate AS begun, o_orderdate + INTERVAL 3 DAY AS done, o_orderkey AS job, o_orderstatus AS kind FROM orders WHERE o_orderkey % 5 <> 0")
+def viz_gantt_roles(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").selectExpr("o_orderdate AS begun", "CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate + INTERVAL 3 DAY END AS done", "o_orderkey AS job", "o_orderstatus AS kind")
+    return _chart(spark, df, "GanttChart", start="begun", finish="done", task="job", color="kind")
+
+
+@query("""SELECT c_nationkey AS entity, max(c_acctbal) FILTER (WHERE c_mktsegment = 'BUILDING') AS start, max(c_acctbal) FILTER (WHERE c_mktsegment = 'MACHINERY') AS "end",
+max(c_acctbal) FILTER (WHERE c_mktsegment = 'FURNITURE') AS dot_0 FROM customer GROUP BY 1 HAVING max(c_acctbal) FILTER (WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) IS NOT NULL""")
+def viz_dumbbell_both(spark, sf_dir):
+    given = {"categoryColumnName": "c_mktsegment", "dumbbellStartValue": "BUILDING", "dumbbellEndValue": "MACHINERY", "measurementColumnName": "c_acctbal", "comparedColumnName": "c_nationkey", "dots": [{"dotValue": "FURNITURE"}]}
+    return _chart(spark, table(spark, sf_dir, "customer"), "DumbbellPlot", **given)
+
+
+@query("""SELECT '<img src="data:image/png;base64,' || base64(encode(url)) || '" style="max-width:100%">' AS image FROM pages""")
+def viz_image(spark, sf_dir):
+    return _chart(spark, table(spark, sf_dir, "pages").select(F.col("url").cast("binary").alias("raw")), "ImageVisualizer", binaryContent="raw")
+
+
+@query("""SELECT '<!DOCTYPE html><html lang="en"><body><div class="modal-body"><iframe src="' || url || '" frameborder="0" style="height:100vh; width:100%; border:none;"></iframe></div></body></html>' AS "html-content" FROM pages""")
+def viz_url_page(spark, sf_dir):
+    return run(spark, "URLVisualizer", table(spark, sf_dir, "pages"), urlContentAttrName="url")
+
+
+_WORD = r"[\p{L}\p{M}\p{Nd}_]"
+
+
+@query(f"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '{_WORD}[\\p{{L}}\\p{{M}}\\p{{Nd}}_'']+')) AS word FROM documents)
+SELECT word, count(*) AS count FROM w WHERE NOT list_contains(string_split('{" ".join(sorted(charts.CLOUD_STOP))}', ' '), word) GROUP BY word ORDER BY count DESC, word LIMIT 50""")
+def viz_wordcloud_words(spark, sf_dir):
+    return _chart(spark, table(spark, sf_dir, "documents"), "WordCloud", textColumn="text", topN=50)
+
+
+_HAS = "regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])({w})([^\\p{{L}}\\p{{M}}\\p{{N}}_]|$)')"
+
+
+@query(f"""SELECT doc_id, coalesce({_HAS.format(w="worthless|worthlessness")} OR {_HAS.format(w="pathetic|pathetical|pathetically")} AND {_HAS.format(w="thing|things")}
+OR {_HAS.format(w="de|des")} AND {_HAS.format(w="la|las")}, false) AS matched FROM documents""")
+def dict_conjunction_stems(spark, sf_dir):
+    """All words of an entry among those of the text, whatever their endings; SQL names the forms."""
+    given = {"Dictionary": "worthless,pathetic things,de la", "Attribute": "text", "result attribute": "matched", "Matching type": "Conjunction"}
+    return run(spark, "DictionaryMatcher", table(spark, sf_dir, "documents").select("doc_id", "text"), **given).drop("text")
+
+
+@query("SELECT 'keyword' AS what, doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{M}\\p{N}_])(of[^\\p{L}\\p{M}\\p{N}_]+the|nothing|th[^ ]ng)([^\\p{L}\\p{M}\\p{N}_]|$)')")
+def keyword_syntax(spark, sf_dir):
+    """A phrase, a fuzzy term and a wildcard, and a field."""
+    df = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return run(spark, "KeywordSearch", df, attribute="text", keyword='"of the" OR text:nothing OR th?ng').select(F.lit("keyword").alias("what"), "doc_id")
+
+
+# Step by step --------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT * FROM (VALUES ('in', 0, 25), ('some', 25, 15), ('sum', 15, 3)) s("operatorId", "inputTupleCnt", "outputTupleCnt")""")
+def runtime_statistics(spark, sf_dir):
+    """Rows in and out of each operator of a workflow that ran step by step, was paused, changed, and went on."""
+    flow = Workflow()
+    flow.add("in", "ParquetScan", fileName=f"{sf_dir}/nation.parquet")
+    flow.add("some", "Filter", "in", predicates=[{"attribute": "n_regionkey", "condition": "=", "value": "9"}])
+    flow.add("sum", "Aggregate", "some", groupByKeys=["n_regionkey"], aggregations=[{"aggFunction": "count", "attribute": "n_name", "result attribute": "n"}])
+    one = Execution(spark, flow)
+    one.step()
+    one.step()
+    one.pause()
+    one.replace("some", "Filter", predicates=[{"attribute": "n_regionkey", "condition": ">=", "value": "2"}])
+    two = Execution(spark, flow, one.folder)  # as another process would, with what is done
+    two.run()
+    last = one.statistics().where("operatorId = 'in'").unionAll(two.statistics()).where(f"status = {COMPLETED}")
+    return last.select("operatorId", F.col("inputTupleCnt").cast("int").alias("inputTupleCnt"), F.col("outputTupleCnt").cast("int").alias("outputTupleCnt"))

@@ -10,6 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from millrace.functions import storage
 from millrace.registry import Operator, PropertyError, make
 
 #: Keys of an operator's JSON that aren't properties.
@@ -88,14 +89,15 @@ class Workflow:
     def build(self, spark: SparkSession) -> dict[str, list[DataFrame]]:
         """Of each operator a DataFrame per output port. Nothing runs but what an operator needs to plan.
 
-        What several operators read of an unstable operator is persisted, so that they see the same rows.
+        What several operators read of an unstable operator is written to the shared folder, so that they see the same
+        rows, also when an executor is lost.
         """
         found: dict[str, list[DataFrame]] = {}
         for name in self.order():
             op = self.operators[name]
             out = op.apply(spark, self._inputs(name, found))
             if op.unstable and len(out) == 1 and sum(k.source == name for k in self.links) > 1:
-                out = [out[0].persist()]
+                out = [out[0] if out[0].isStreaming else storage.kept(out[0])]
             found[name] = out
         return found
 

@@ -1,6 +1,8 @@
 """Chart operators: prepare() computes the data in Spark, run() draws them into one row of HTML.
 
-What comes to the driver is limited to SHOWN rows; aggregated charts are aggregated before.
+prepare() always gives all data, aggregated where the chart is of aggregates. A page holds SHOWN rows at most:
+of more, those of least hash are drawn, which doesn't depend on how rows are dealt out, and the page says how
+many there are; charts that make sense as a whole only are refused instead.
 """
 
 from __future__ import annotations
@@ -13,10 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import types
+from millrace.functions.quantiles import quantiles
 from millrace.registry import Operator, PropertyError, col, field_of, many, operator, wire
 from millrace.viz import render
 
 SHOWN = 10_000
+#: Nodes that are laid out by springs, and points that are clustered; both need all pairs on the driver.
+NODES, CLUSTERED = 1000, 2000
 HTML = "html-content"
 NO_CHOICE = ("", "No Selection", None)
 
@@ -38,14 +43,26 @@ class Chart(Operator):
         kind, *columns = self.drawing
         return render.svg(rows, kind, *columns)
 
+    #: Whether a part of the rows would be another chart.
+    whole = False
+
     def html(self, df: DataFrame) -> str:
+        note = ""
         try:
-            rows = [r.asDict(recursive=True) for r in self.prepare(df).limit(SHOWN).collect()]
+            data = self.prepare(df)
+            found = data.limit(SHOWN + 1).collect()
+            if len(found) > SHOWN:
+                n = data.count()
+                if self.whole:
+                    raise PropertyError(f"it would have {n} rows, and a page holds {SHOWN}; filter or aggregate them first")
+                kept = data.withColumn("__place", F.xxhash64(*data.columns)).orderBy("__place").limit(SHOWN).drop("__place")
+                found, note = kept.collect(), f"{SHOWN} of {n} rows are drawn."
+            rows = [r.asDict(recursive=True) for r in found]
+            if not rows:
+                return render.error_page(self.title, "the input table is empty, or none of its rows can be shown.")
+            return render.page(self.title, self.draw(rows), rows, self.options(), note)
         except PropertyError as e:
             return render.error_page(self.title, str(e))
-        if not rows:
-            return render.error_page(self.title, "the input table is empty, or none of its rows can be shown.")
-        return render.page(self.title, self.draw(rows), rows, self.options())
 
     def run(self, spark, df):
         return spark.createDataFrame([(self.html(df),)], T.StructType([T.StructField(HTML, T.StringType())]))
@@ -92,9 +109,10 @@ class SankeyDiagram(Chart):
     def prepare(self, df):
         return df.groupBy(col(df, self.source).alias("source"), col(df, self.target).alias("target")).agg(F.sum(col(df, self.value)).alias("value"))
 
+    whole = True
+
     def draw(self, rows):
-        labels = list(dict.fromkeys([r["source"] for r in rows] + [r["target"] for r in rows]))
-        return render.table([{"source": labels.index(r["source"]), "target": labels.index(r["target"]), "value": r["value"]} for r in rows], ["source", "target", "value"])
+        return render.flows([(r["source"], r["target"], float(r["value"])) for r in rows if (r["value"] or 0) > 0])
 
 
 class _Hierarchy(Chart):
@@ -109,8 +127,18 @@ class _Hierarchy(Chart):
         levels = [f"level{i}" for i in range(len(path))]
         return rows.rollup(*levels).agg(F.sum("value").alias("value"), F.grouping_id().alias("g")).select(*levels, (len(path) - F.bit_count("g")).cast("int").alias("depth"), "value").where("depth > 0")
 
+    whole = True
+    shape = "icicle"
+
     def draw(self, rows):
-        return render.table(rows, list(rows[0]))
+        levels = [c for c in rows[0] if c.startswith("level")]
+        root: dict[str, Any] = {"name": "", "value": 0, "children": []}
+        nodes: dict[tuple, dict] = {(): root}
+        for r in sorted(rows, key=lambda r: r["depth"]):
+            path = tuple(r[c] for c in levels[: r["depth"]])
+            nodes[path] = {"name": path[-1], "value": float(r["value"] or 0), "children": []}
+            nodes[path[:-1]]["children"].append(nodes[path])
+        return render.shares(root, self.shape)
 
 
 @operator("IcicleChart", "Visualization - Advanced")
@@ -127,6 +155,10 @@ class HierarchyChart(_Hierarchy):
     hierarchy: list = many()
     hierarchyChartType: str = "treemap"
 
+    @property
+    def shape(self) -> str:
+        return "sunburst" if "sunburst" in self.hierarchyChartType.lower() else "treemap"
+
 
 @operator("TimeSeriesPlot", "Visualization - Basic")
 class TimeSeriesPlot(Chart):
@@ -196,7 +228,7 @@ class ContourPlot(Chart):
             count = (~np.isnan(near)).sum(0)
             mean = np.nansum(near, axis=0) / np.maximum(count, 1)
             grid = np.where(np.isnan(grid) & (count > 0), mean, grid)
-        return render.table([{str(i): (None if np.isnan(v) else round(float(v), 4)) for i, v in enumerate(row)} for row in grid], [str(i) for i in range(n)])
+        return render.cells([[None if np.isnan(v) else float(v) for v in row] for row in grid])
 
 
 class _Traces(Chart):
@@ -496,8 +528,13 @@ class TreePlot(Chart):
         todo = list(depth)
         while todo:
             todo = [r["child"] for r in rows if r["parent"] in todo and r["child"] not in depth and not depth.update({r["child"]: depth[r["parent"]] + 1})]
-        places = [{"node": n, "x": float(i), "depth": float(d)} for i, (n, d) in enumerate(sorted(depth.items(), key=lambda t: (t[1], str(t[0]))))]
-        return render.svg(places, "points", "x", "depth")
+        deepest, rank = max(depth.values(), default=0) or 1, {}
+        for n in sorted(depth, key=lambda n: (depth[n], str(n))):
+            rank.setdefault(depth[n], []).append(n)
+        places = {n: ((i + 0.5) / len(names), d / deepest) for d, names in rank.items() for i, n in enumerate(names)}
+        return render.graph(places, [(r["parent"], r["child"]) for r in rows if r["parent"] in places and r["child"] in places])
+
+    whole = True
 
 
 @operator("BubbleChart", "Visualization - Basic")
@@ -635,24 +672,22 @@ class BoxViolinPlot(Chart):
         numeric(df, self.value)
         rows = df.select(col(df, self.value).cast("double").alias("v")).dropna()
         kind = self.quartiles.lower()
-        n = F.count("v").alias("count")
+        size = rows.count()
         if kind == "linear":
-            q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            out = rows.agg(F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max"), n).select("min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max", "count")
-            return out.where("count > 0")
-        if kind not in ("inclusive", "exclusive"):
+            at = [0.25, 0.5, 0.75]
+        elif kind in ("inclusive", "exclusive"):
+            # Medians of the halves, as places between 0 and 1 of all values.
+            half = (size + (1 if kind == "inclusive" else 0)) // 2 if size > 1 else size
+            low = (half - 1) / 2 / max(size - 1, 1) if size else 0.0
+            at = [low, 0.5, 1 - low if size > 1 else 0.0]
+        else:
             raise PropertyError(f"no quartile method {self.quartiles!r}")
-        size = rows.count()
-        half = (size + (1 if kind == "inclusive" else 0)) // 2 if size > 1 else size
-        # Medians of the halves, as places between 0 and 1 of all values.
-        low = (half - 1) / 2 / max(size - 1, 1) if size else 0.0
-        at = [low, 0.5, 1 - low if size > 1 else 0.0]
-        q = F.percentile("v", F.array(*map(F.lit, at)))
-        out = rows.agg(F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max"), n)
-        return out.select("min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max", "count").where("count > 0")
+        found = [F.lit(q).cast("double").alias(name) for q, name in zip(quantiles(rows, "v", at), ("q1", "median", "q3"), strict=True)]
+        return rows.agg(F.min("v").alias("min"), F.max("v").alias("max"), F.count("v").alias("count")).select("min", *found, "max", "count").where("count > 0")
 
     def draw(self, rows):
-        return render.table(rows, list(rows[0]))
+        r = rows[0]
+        return render.box(*(float(r[k]) for k in ("min", "q1", "median", "q3", "max")), bool(self.horizontalOrientation))
 
 
 @operator("NetworkGraph", "Visualization - Advanced")
@@ -672,9 +707,11 @@ class NetworkGraph(Chart):
         return e.select(F.col("source").alias("node")).union(e.select("destination")).distinct()
 
     def draw(self, rows):
-        names = sorted({r["source"] for r in rows} | {r["destination"] for r in rows})[:500]
+        names = sorted({r["source"] for r in rows} | {r["destination"] for r in rows})
+        if len(names) > NODES:
+            raise PropertyError(f"it would have {len(names)} nodes, and {NODES} can be laid out; filter them first")
         at = {n: i for i, n in enumerate(names)}
-        pairs = np.array([(at[r["source"]], at[r["destination"]]) for r in rows if r["source"] in at and r["destination"] in at])
+        pairs = np.array([(at[r["source"]], at[r["destination"]]) for r in rows])
         place = np.random.default_rng(1).uniform(-1, 1, (len(names), 2))
         for k in range(50):
             gap = place[:, None] - place[None]
@@ -685,7 +722,11 @@ class NetworkGraph(Chart):
                 np.add.at(push, pairs[:, 0], pull)
                 np.add.at(push, pairs[:, 1], -pull)
             place += np.clip(push, -1, 1) * 0.1 * (1 - k / 50)
-        return render.svg([{"x": float(x), "y": float(y)} for x, y in place], "points", "x", "y")
+        low, high = place.min(axis=0), place.max(axis=0)
+        share = (place - low) / np.maximum(high - low, 1e-9)
+        return render.graph({n: (float(x), float(y)) for n, (x, y) in zip(names, share, strict=True)}, [(r["source"], r["destination"]) for r in rows])
+
+    whole = True
 
 
 @operator("Histogram", "Visualization - Statistical")
@@ -893,9 +934,10 @@ def merges(points: np.ndarray) -> list[tuple[int, int, float]]:
 
 @operator("Dendrogram", "Visualization - Advanced")
 class Dendrogram(Chart):
-    """Hierarchical clustering of labelled points, of which the first 1000 are shown."""
+    """Complete-linkage clustering of labelled points; more than CLUSTERED are refused, as all pairs are looked at."""
 
     title = "Dendrogram"
+    whole = True
     xVal: str
     yVal: str
     labels: str = wire("Labels")
@@ -905,12 +947,23 @@ class Dendrogram(Chart):
         numeric(df, self.xVal, self.yVal)
         return df.select(col(df, self.xVal).cast("double").alias("x"), col(df, self.yVal).cast("double").alias("y"), col(df, self.labels).cast("string").alias("label")).dropna()
 
+    def clusters(self, df: DataFrame) -> DataFrame:
+        """step, left, right, distance, size: the clusters that are joined, points (in order of label, x, y) from 0, then new ones."""
+        points = [(r["x"], r["y"]) for r in self.points(self.prepare(df))]
+        size, out = [1] * len(points), []
+        for k, (a, b, d) in enumerate(merges(np.array(points)) if points else []):
+            size.append(size[a] + size[b])
+            out.append((k, a, b, d, size[-1]))
+        return df.sparkSession.createDataFrame(out, "step int, left int, right int, distance double, size int")
+
+    def points(self, data: DataFrame) -> list:
+        found = data.orderBy("label", "x", "y").limit(CLUSTERED + 1).collect()
+        if len(found) > CLUSTERED:
+            raise PropertyError(f"more than {CLUSTERED} points can't be clustered here; filter or aggregate them first")
+        return found
+
     def draw(self, rows):
-        rows = rows[:1000]
-        names = [r["label"] for r in rows]
-        steps = merges(np.array([[r["x"], r["y"]] for r in rows]))
-        out = []
-        for a, b, d in steps:
-            names.append(f"({names[a]}, {names[b]})" if len(rows) <= 30 else f"#{len(names)}")
-            out.append({"cluster": names[-1], "distance": round(d, 4)})
-        return render.table(out, ["cluster", "distance"])
+        if len(rows) > CLUSTERED:
+            raise PropertyError(f"more than {CLUSTERED} points can't be clustered here; filter or aggregate them first")
+        rows = sorted(rows, key=lambda r: (r["label"], r["x"], r["y"]))
+        return render.joins([r["label"] for r in rows], merges(np.array([[r["x"], r["y"]] for r in rows])))
