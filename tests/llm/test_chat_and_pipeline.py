@@ -1,10 +1,15 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
 import corpus_pipeline
-from millrace.llm import chat, simhash
-from millrace.llm.queries import table
+from millrace.llm import chat
+from millrace.llm.queries import BYTES, table
+from test_operators_by_brute_force import plain_keys, plain_rules
+from test_shingles import plain_components
+from tokenizers import Tokenizer
 
 
 def plain_preferences(turns: list[tuple]) -> dict[tuple, tuple]:
@@ -57,42 +62,117 @@ def test_format_of_given_pairs(spark):
     assert rows[1].prompt == "" and rows[1].n_prompt_turns == 0
 
 
-def test_pipeline_stages_and_result(spark):
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "quality rules", "near dedup", "suffix dedup", "packing"]
-    sf = "/root/testdata/sf0.001"
-    docs = table(spark, sf, "documents").persist()
-    ids = {r.doc_id for r in docs.select("doc_id").collect()}
-    seen = [docs]
-    from millrace.llm.common import written
+def plain_rules_stage(rows: list[tuple]) -> list[tuple]:
+    """Rows (doc_id, text, source) that pass the rules, without the lines of over 20 documents of a host."""
+    def key(line: str) -> str:
+        return re.sub("[0-9]+", "0", re.sub("[ \t\x0b\x0c\r]+", " ", line).lower()).strip(" ")
 
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = written(stage(spark, seen[-1], sf), "test")
-        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
-        kept = {r.doc_id for r in out.select("doc_id").collect()}
-        assert kept <= ids and kept
-        ids = kept
-        seen.append(out)
-    # Near copies: brute force over the stage's own input.
-    texts = sorted((r.doc_id, r.text) for r in seen[2].select("doc_id", "text").collect())
-    prints = [simhash.fingerprint(t) for _, t in texts]
-    parent = list(range(len(prints)))
-    for i in range(len(prints)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 3:
-                a, b = sorted((parent[i], parent[j]))
-                parent = [a if p == b else p for p in parent]
-    assert {r.doc_id for r in seen[3].collect()} == {texts[k][0] for k, p in enumerate(parent) if p == k}
-    # Strings of 100 bytes: none starts twice in what suffix dedup leaves untouched; removed bytes are as brute force says.
-    strings: set[bytes] = set()
-    for r in sorted(seen[3].collect(), key=lambda r: r.doc_id):
-        raw = r.text.encode()
+    found: dict[tuple, set] = {}
+    for i, t, source in rows:
+        for x in (t or "").split("\n"):
+            if key(x) and i is not None:
+                found.setdefault((source or "", key(x)), set()).add(i)
+    common = {k: min(v) for k, v in found.items() if len(v) > 20}
+    out = []
+    for i, t, source in rows:
+        n, _, _, _, repeats = plain_rules(t)
+        if n < 50 or 100 * repeats > 50 * n:
+            continue
+        lines = t.split("\n")
+        gone = [(source or "", key(x)) in common and common[source or "", key(x)] != i for x in lines]
+        left = n - sum(len(key(x).split(" ")) for x, g in zip(lines, gone, strict=True) if g)
+        if not any(gone):
+            out.append((i, t, source))
+        elif left >= 50 and left >= 0.5 * n:
+            out.append((i, "\n".join(x for x, g in zip(lines, gone, strict=True) if not g), source))
+    return out
+
+
+def plain_suffix_stage(rows: list[tuple]) -> list[tuple]:
+    """Rows without the bytes of strings of 100 that start earlier: in a smaller doc_id (null first) or in the same text."""
+    texts = sorted({(i, t) for i, t, _ in rows}, key=lambda r: (r[0] is not None, r[0] or 0))
+    first: dict[bytes, int | None] = {}
+    for i, t in texts:
+        for s in range(len(t.encode()) - 99):
+            first.setdefault(t.encode()[s : s + 100], i)
+    done = {}
+    for i, t in texts:
+        raw, own = t.encode(), set()
         gone = bytearray(len(raw))
         for s in range(len(raw) - 99):
             w = raw[s : s + 100]
-            if w in strings:
+            if first[w] != i or w in own:
                 gone[s : s + 100] = b"\1" * 100
-            strings.add(w)
-        kept = bytes(b for b, g in zip(raw, gone, strict=True) if not g).decode("utf-8", "ignore")
-        assert kept == seen[4].where(f"doc_id = {r.doc_id}").first().text if gone.count(1) else True
-    last = corpus_pipeline.STAGES[-1][1](spark, seen[4], sf)
-    assert {r.doc_id for r in last.collect()} == ids
+            own.add(w)
+        done[i, t] = bytes(b for b, g in zip(raw, gone, strict=True) if not g).decode("utf-8", "ignore")
+    return [(i, done[i, t], source) for i, t, source in rows]
+
+
+def plain_pipeline(rows: list[tuple], target: set[int], drawn: int) -> Counter:
+    """How often each token stands at each place of a document, after all stages by plain means."""
+    distinct = dict(enumerate(rows))
+    keys = plain_keys({k: r[1] for k, r in distinct.items()}, {k for k, r in distinct.items() if r[0] in target}, {k: r[0] for k, r in distinct.items()})
+    least = sorted(keys.values(), reverse=True)[drawn - 1]
+    rows = [r for k, r in distinct.items() if keys[k] >= least]
+    rows = plain_rules_stage(rows)
+    linked = plain_components({i: t for i, t, _ in rows if i is not None})
+    rows = [r for r in rows if r[0] is None or linked[r[0]] == r[0]]
+    rows = plain_suffix_stage(rows)
+    t = Tokenizer.from_file(BYTES)
+    return Counter((i, k, x) for i, text, _ in rows for k, x in enumerate([*t.encode(text, add_special_tokens=False).ids, 1]))
+
+
+def pipeline_rows() -> tuple[list[tuple], list[tuple]]:
+    """Documents (doc_id, text, source) with copies, near copies, common lines and passages, junk, nulls and repeats; and labels."""
+    r = random.Random(21)
+    good = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(600)]
+    bad = ["".join(r.choice("uvwxyz") for _ in range(r.randint(3, 8))) for _ in range(300)]
+    say = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    passage = say(good, 70)
+    rows, labels = [], []
+    for i in range(110):
+        text = say(good, r.randint(60, 140))
+        if i % 4 == 0:
+            text = f"Read more here {i}\n{text}"
+        if i % 10 == 1:
+            text = f"{text}\n{passage}"
+        rows.append((i, text, f"h{i % 2}"))
+        labels.append((i, 1, 0))
+    rows += [(200 + i, say(bad, 90), "h0") for i in range(20)]
+    labels += [(200 + i, 0, 0) for i in range(20)]
+    near = rows[5][1].split(" ")
+    near[30] = "changed"
+    rows += [(300, rows[7][1], "h1"), (301, " ".join(near), "h0"), (302, say(good, 20), "h0"), (303, "one two three " * 40, None), (304, None, "h0"), (305, "", "h0"), rows[9], rows[9], (None, say(good, 80), "h1"), (306, f"{say(good, 60)} naïve 漢字 {passage}", "h0")]
+    r.shuffle(rows)
+    return rows, labels
+
+
+def test_pipeline_is_what_plain_stages_give(spark, tmp_path):
+    rows, labels = pipeline_rows()
+    full = [(i, t, "en", source, None if t is None else len(t), "x", 1, 2.5) for i, t, source in rows]
+    df = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, key string, node int, place double").repartition(3)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = Counter((p.doc_id, p.start + k, x) for p in corpus_pipeline.run(spark, str(tmp_path)).collect() for k, x in enumerate(p.ids))
+    drawn = round((1 - 20 / 130) * len(rows))
+    want = plain_pipeline(rows, set(range(110)), drawn)
+    assert got == want
+    ids = {i for i, _, _ in want}
+    # Copies and near copies are gone, most bad ones too; nearly all good ones are there.
+    assert not ids & {300, 301, 302, 303, 304, 305} and len(ids & set(range(200, 220))) <= 2 and len(ids & set(range(110))) >= 105
+
+
+def test_pipeline_over_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+
+
+def test_stages_keep_the_columns(spark):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "quality rules", "near dedup", "suffix dedup", "packing"]
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.dtypes == docs.dtypes and 0 < out.count() <= docs.count(), name

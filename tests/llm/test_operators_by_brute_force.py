@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from millrace.llm import bpe, importance, langid, packing, quality_rules, records, simhash, suffix, telephony, tokens
+from millrace.llm import bpe, common, importance, langid, packing, quality_rules, records, simhash, suffix, telephony, tokens
 from millrace.llm.components import components
 from millrace.llm.queries import BYTES, WORDS
 
@@ -226,7 +226,10 @@ def test_gray_rank_orders_the_reflected_sequence():
     assert simhash.gray_rank(codes).tolist() == list(range(1000))
 
 
-def test_components_of_chains_stars_and_loops(spark):
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_components_of_chains_stars_and_loops(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_ROWS", few)
+    monkeypatch.setattr(common, "HOT_LEAST", 5)
     edges = [(i, i + 1) for i in range(12)] + [(100, i) for i in range(101, 140)] + [(200, 200), (301, 300), (300, 301)]
     got = {r["u"]: r["label"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 13)} | {i: 100 for i in range(101, 140)} | {301: 300}
@@ -586,8 +589,11 @@ def plain_grams(text: str | None) -> list[int]:
     return [((x % space) >> 20) % importance.BUCKETS for x in (*words, *((a * odd + b) % space * odd for a, b in zip(words, words[1:], strict=False)))]
 
 
-def plain_keys(texts: dict[int, str | None], target: set[int]) -> dict[int, float]:
-    """Sum of the log ratios of the two smoothed models, plus Gumbel noise; -1e300 where there is nothing to weigh."""
+def plain_keys(texts: dict[int, str | None], target: set[int], ids: dict[int, int | None] | None = None) -> dict[int, float]:
+    """Sum of the log ratios of the two smoothed models, plus Gumbel noise; -1e300 where there is nothing to weigh.
+
+    Texts are named by row; ids gives their doc_ids if these are others.
+    """
     raw, good = [0.5] * importance.BUCKETS, [0.5] * importance.BUCKETS
     for i, t in texts.items():
         for b in plain_grams(t):
@@ -598,7 +604,7 @@ def plain_keys(texts: dict[int, str | None], target: set[int]) -> dict[int, floa
     keys = {}
     for i, t in texts.items():
         grams = plain_grams(t)
-        u = ((xxhash.xxh64_intdigest(str(i), importance.SEED) >> 11) + 0.5) / 2**53
+        u = ((xxhash.xxh64_intdigest(str(ids[i] if ids else i), importance.SEED) >> 11) + 0.5) / 2**53
         keys[i] = sum(ratio[b] + shift for b in grams) - math.log(-math.log(u)) if grams else -1e300
     return keys
 

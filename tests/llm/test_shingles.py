@@ -49,6 +49,7 @@ def test_bands_over_many_parts(spark, monkeypatch):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     monkeypatch.setattr(shingles, "GROUP", 2)
     monkeypatch.setattr(common, "HOT_LEAST", 3)
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
     assert {r.doc_id: r.component_id for r in shingles.near_duplicates(df).collect()} == plain_components(texts)
 
 
