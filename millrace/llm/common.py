@@ -53,6 +53,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 #: A key is hot if it has over one in HOT_SHARE of all rows (so there are at most HOT_SHARE such keys), and over HOT_LEAST.
 HOT_SHARE, HOT_LEAST = 1000, 1000
+#: Up to so many rows all may have one key: one task joins them.
+FEW_ROWS = 1_000_000
 
 
 def broadcast_if_small(df: DataFrame, name: str) -> DataFrame:
@@ -65,8 +67,10 @@ def join_with_hot_keys(many: DataFrame, one: DataFrame, key: str, rows: str, tot
     """many joined with one on key; `one` has one row a key and in column `rows` how many rows of `many` (in all: total) have it.
 
     Rows of hot keys stay where they are: their few rows of `one` are broadcast. All others are shuffled. Both sides are
-    read twice, so they should be written or checkpointed.
+    read twice, so they should be written or checkpointed. Up to FEW_ROWS rows this is a plain join, with the same result.
     """
+    if total <= FEW_ROWS:
+        return many.join(one.drop(rows), key)
     hot = (F.col(rows) > HOT_LEAST) & (F.col(rows) * HOT_SHARE > total)
     some = one.where(hot).drop(rows)
     rest = many.join(F.broadcast(some.select(key)), key, "left_anti").join(one.where(~hot).drop(rows), key)

@@ -34,4 +34,4 @@ def components(edges: DataFrame) -> DataFrame:
         if not now[0] or tuple(now) == before:
             return state.select("u", F.col("v").alias("label"))
         before = tuple(now)
-        state = checkpointed(_small_star(checkpointed(_large_star(state, now[0])), now[0]))
+        state = checkpointed(_small_star(_large_star(state, now[0]), now[0]))
