@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
 import tempfile
@@ -21,7 +22,24 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir isn't set: a folder that driver and executors share is needed")
         base = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+_MADE: list[str] = []
+
+
+@atexit.register
+def clean_up() -> None:
+    """Deletes all paths that shared_folder() gave. To be called when no result is read any more; else the end of the process does it."""
+    while _MADE:
+        try:
+            files, path = filesystem(_MADE.pop())
+            if files.get_file_info(path).type == fs.FileType.Directory:
+                files.delete_dir(path)
+        except (OSError, ValueError):
+            continue  # a file system that only Spark's readers know, or that is gone
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import pickle
 import re
 import shutil
 import subprocess
-import tempfile
 from collections.abc import Iterator
 from typing import Any
 
@@ -131,18 +131,33 @@ def plain(frame: pd.DataFrame) -> list[dict]:
     return [dict(zip(names, row, strict=True)) for row in zip(*columns, strict=True)] if names else [{} for _ in range(len(frame))]
 
 
-def _process(code: str, port: int, batches: Iterator[pd.DataFrame], first: list[pd.DataFrame] | None = None) -> Iterator[Any]:
+def _process(code: str, port: int, batches: Iterator[pd.DataFrame], first: list[pd.DataFrame] | None = None, skip: bool = False) -> Iterator[Any]:
     f = load(code)
     f.open()
     if first is not None:
-        yield from _feed(f, iter(first), port - 1)
+        yield from _feed(f, iter(first), port - 1, skip)
         yield from f.on_finish(port - 1) or ()
-    yield from _feed(f, batches, port)
+    yield from _feed(f, batches, port, skip)
     yield from f.on_finish(port) or ()
     f.close()
 
 
-def _feed(f: UserFunction, batches: Iterator[pd.DataFrame], port: int) -> Iterator[Any]:
+def _failures(code: str, batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+    """Rows at which a row function fails, with the error; what it gives for others is dropped."""
+    f = load(code)
+    f.open()
+    for b in batches:
+        for row in plain(b):
+            own = dict(row)
+            try:
+                for _ in f.process_tuple(row, 0) or ():
+                    pass
+            except Exception as e:  # noqa: BLE001  any error of a user's function
+                yield own | {"error": f"{type(e).__name__}: {e}"}
+    f.close()
+
+
+def _feed(f: UserFunction, batches: Iterator[pd.DataFrame], port: int, skip: bool) -> Iterator[Any]:
     if isinstance(f, TableFunction):
         held, size = [], 0
         for b in batches:
@@ -166,7 +181,11 @@ def _feed(f: UserFunction, batches: Iterator[pd.DataFrame], port: int) -> Iterat
     else:
         for b in batches:
             for row in plain(b):
-                yield from f.process_tuple(row, port) or ()
+                try:
+                    yield from f.process_tuple(row, port) or ()
+                except Exception:
+                    if not skip:
+                        raise
 
 
 def declared(columns: list[dict]) -> list[T.StructField]:
@@ -182,19 +201,30 @@ def result_schema(df: DataFrame | None, retain: bool, columns: list[dict]) -> T.
 
 @operator("PythonUDFV2", "User-defined Functions")
 class PythonUDFV2(Operator):
-    """A user class over the rows, batches or table of each worker; one worker sees all rows, several share them."""
+    """A user class over the rows, batches or table of each worker; one worker sees all rows, several share them.
+
+    With skipFailing, rows at which a row function fails are left out; failures() tells which they are and why.
+    """
 
     unstable = True
     code: str
     workers: int = 1
     retainInputColumns: bool = True
     outputColumns: list = many()
+    skipFailing: bool = False
 
     def run(self, spark, df):
-        schema, code = result_schema(df, self.retainInputColumns, self.outputColumns), self.code
+        schema, code, skip = result_schema(df, self.retainInputColumns, self.outputColumns), self.code, self.skipFailing
         load(code)  # fails here rather than in a worker
         dealt = df.coalesce(1) if self.workers <= 1 else df.repartition(self.workers)
-        return dealt.mapInPandas(lambda batches: _packed(_process(code, 0, batches), schema), schema)
+        return dealt.mapInPandas(lambda batches: _packed(_process(code, 0, batches, skip=skip), schema), schema)
+
+    def failures(self, df: DataFrame) -> DataFrame:
+        """The rows at which the row function fails, and a column error."""
+        if not isinstance(load(self.code), RowFunction):
+            raise PropertyError("only a function of rows can fail at one row")
+        schema, code = result_schema(df, True, [{"attributeName": "error", "attributeType": "string"}]), self.code
+        return df.mapInPandas(lambda batches: _packed(_failures(code, batches), schema), schema)
 
 
 @operator("DualInputPortsPythonUDFV2", "User-defined Functions")
@@ -324,24 +354,42 @@ class JavaUDF(Operator):
         return out.select(*(f"`{n}`" for n in schema.names))
 
 
-def run_r(script: str, frame: pd.DataFrame | None, columns: list[str]) -> pd.DataFrame:
-    """Runs an R script that reads `input.csv` (if there is input) and writes `output.csv`."""
+_R_ROWS = """
+rows <- list()
+for (i in seq_len(nrow(table))) {
+  got <- f(as.list(table[i, , drop = FALSE]), 0)
+  if (!is.null(got)) rows[[length(rows) + 1]] <- as.data.frame(got, check.names = FALSE, stringsAsFactors = FALSE)
+}
+out <- if (length(rows)) do.call(rbind, rows) else table[0, , drop = FALSE]
+"""
+
+
+def r_program(script: str, reads: bool, by_row: bool) -> str:
+    """An R program that reads CSV from standard input (if there is input), calls the function and writes CSV to standard output.
+
+    What the function prints goes to standard error. By row the function gets a list and gives a list, a data frame or NULL.
+    """
+    body = "table <- read.csv(file('stdin'), check.names = FALSE, stringsAsFactors = FALSE)\n" if reads else ""
+    call = _R_ROWS if by_row and reads else f"out <- f({'table, 0' if reads else ''})\n"
+    return f"sink(stderr())\n{body}f <- {script}\n{call}sink()\nwrite.csv(as.data.frame(out, check.names = FALSE), stdout(), row.names = FALSE)\n"
+
+
+def run_r(script: str, frame: pd.DataFrame | None, columns: list[str], by_row: bool = False) -> pd.DataFrame:
+    """Runs r_program in a process of its own, over pipes."""
     program = shutil.which("Rscript")
     if program is None:
         raise RuntimeError("R runtime not available")
-    with tempfile.TemporaryDirectory() as folder:
-        if frame is not None:
-            frame.to_csv(f"{folder}/input.csv", index=False)
-        body = ("table <- read.csv('input.csv', check.names=FALSE)\n" if frame is not None else "") + f"f <- {script}\n" + f"out <- f({'table, 0' if frame is not None else ''})\nwrite.csv(out, 'output.csv', row.names=FALSE)\n"
-        with open(f"{folder}/run.R", "w") as f:
-            f.write(body)
-        subprocess.run([program, "run.R"], cwd=folder, check=True, capture_output=True)
-        return pd.read_csv(f"{folder}/output.csv")[columns]
+    given = None if frame is None else frame.to_csv(index=False).encode()
+    done = subprocess.run([program, "-e", r_program(script, frame is not None, by_row)], input=given, check=True, capture_output=True)
+    return pd.read_csv(io.BytesIO(done.stdout))[columns]
 
 
 @operator("RUDF", "User-defined Functions")
 class RUDF(Operator):
-    """An R function of a table and a port number, in one worker; needs Rscript there."""
+    """An R function of a table (or with useTupleAPI of a row, as a list) and a port number; needs Rscript in the workers.
+
+    One worker sees the whole table; rows may be dealt out to several.
+    """
 
     unstable = True
     code: str
@@ -351,21 +399,28 @@ class RUDF(Operator):
     outputColumns: list = many()
 
     def run(self, spark, df):
-        schema, code = result_schema(df, self.retainInputColumns, self.outputColumns), self.code
+        schema, code, by_row = result_schema(df, self.retainInputColumns, self.outputColumns), self.code, self.useTupleAPI
         if shutil.which("Rscript") is None:
             raise RuntimeError("R runtime not available")
 
         def run(batches):
+            if by_row:
+                for b in batches:
+                    yield _frame(plain(run_r(code, b, schema.names, True)), schema)
+                return
             held = list(batches)
+            if sum(map(len, held)) > TABLE_ROWS:
+                raise PropertyError(f"a table function gets at most {TABLE_ROWS} rows")
             if held:
                 yield _frame(plain(run_r(code, pd.concat(held, ignore_index=True), schema.names)), schema)
 
-        return df.coalesce(1).mapInPandas(run, schema)
+        dealt = df.repartition(self.workers) if by_row and self.workers > 1 else df.coalesce(1)
+        return dealt.mapInPandas(run, schema)
 
 
 @operator("RUDFSource", "User-defined Functions")
 class RUDFSource(Operator):
-    """Rows that an R function without arguments returns; needs Rscript."""
+    """Rows that an R function without arguments returns, in one worker; needs Rscript there."""
 
     inputs = 0
     unstable = True
@@ -375,5 +430,12 @@ class RUDFSource(Operator):
     columns: list = many()
 
     def run(self, spark):
-        schema = T.StructType(declared(self.columns))
-        return spark.createDataFrame(_frame(plain(run_r(self.code, None, schema.names)), schema), schema)
+        schema, code = T.StructType(declared(self.columns)), self.code
+        if shutil.which("Rscript") is None:
+            raise RuntimeError("R runtime not available")
+
+        def run(batches):
+            for _ in batches:
+                yield _frame(plain(run_r(code, None, schema.names)), schema)
+
+        return spark.range(1, numPartitions=1).mapInPandas(run, schema)

@@ -250,7 +250,7 @@ def result_updates(spark, sf_dir):
 
 
 @query("SELECT true AS near, 0::BIGINT AS others FROM (SELECT count(*) FROM lineitem)")
-def sample_bernoulli_share(spark, sf_dir):
+def sample_bernoulli(spark, sf_dir):
     """Of the rows a tenth is kept, within five standard deviations, and no row that isn't there."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     kept = run(spark, "RandomKSampling", items, **{"random k sample percentage": 10})
@@ -267,12 +267,12 @@ def if_false_branch(spark, sf_dir):
 
 
 @query("SELECT event_id, v FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS v, CASE WHEN event_id % 5 = 0 THEN NULL ELSE props END AS p FROM events) WHERE v IS NULL OR p IS NULL")
-def filter_is_null_some(spark, sf_dir):
+def filter_is_null(spark, sf_dir):
     df = table(spark, sf_dir, "events").selectExpr("event_id", "CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS v", "CASE WHEN event_id % 5 = 0 THEN NULL ELSE props END AS p")
     return run(spark, "Filter", df, predicates=[{"attribute": "v", "condition": "is null", "value": None}, {"attribute": "p", "condition": "is null", "value": None}]).drop("p")
 
 
-simple("regex_ignore_case", "SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '(?i)^small')", "Regex", ["part(p_partkey, p_type)"], attribute="p_type", regex="^small", caseInsensitive=True)
+simple("regex_find_ci", "SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '(?i)^small')", "Regex", ["part(p_partkey, p_type)"], attribute="p_type", regex="^small", caseInsensitive=True)
 
 
 @query("SELECT n_nationkey, n_name, range, row_number() OVER (PARTITION BY range ORDER BY n_nationkey)::INTEGER AS place FROM (SELECT n_nationkey, n_name, least(greatest(n_nationkey // 6, 0), 3)::INTEGER AS range FROM nation)")
@@ -295,19 +295,19 @@ def _chart(spark, df, kind: str, **properties):
 
 
 @query("SELECT l_shipdate AS date, l_extendedprice AS open, l_quantity AS high, l_discount AS low, l_tax AS close FROM lineitem")
-def viz_candlestick_roles(spark, sf_dir):
+def viz_candlestick(spark, sf_dir):
     return _chart(spark, table(spark, sf_dir, "lineitem"), "CandlestickChart", date="l_shipdate", open="l_extendedprice", high="l_quantity", low="l_discount", close="l_tax")
 
 
 @query("SELECT o_orderdate AS begun, o_orderdate + INTERVAL 3 DAY AS done, o_orderkey AS job, o_orderstatus AS kind FROM orders WHERE o_orderkey % 5 <> 0")
-def viz_gantt_roles(spark, sf_dir):
+def viz_gantt(spark, sf_dir):
     df = table(spark, sf_dir, "orders").selectExpr("o_orderdate AS begun", "CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate + INTERVAL 3 DAY END AS done", "o_orderkey AS job", "o_orderstatus AS kind")
     return _chart(spark, df, "GanttChart", start="begun", finish="done", task="job", color="kind")
 
 
 @query("""SELECT c_nationkey AS entity, max(c_acctbal) FILTER (WHERE c_mktsegment = 'BUILDING') AS start, max(c_acctbal) FILTER (WHERE c_mktsegment = 'MACHINERY') AS "end",
 max(c_acctbal) FILTER (WHERE c_mktsegment = 'FURNITURE') AS dot_0 FROM customer GROUP BY 1 HAVING max(c_acctbal) FILTER (WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) IS NOT NULL""")
-def viz_dumbbell_both(spark, sf_dir):
+def viz_dumbbell(spark, sf_dir):
     given = {"categoryColumnName": "c_mktsegment", "dumbbellStartValue": "BUILDING", "dumbbellEndValue": "MACHINERY", "measurementColumnName": "c_acctbal", "comparedColumnName": "c_nationkey", "dots": [{"dotValue": "FURNITURE"}]}
     return _chart(spark, table(spark, sf_dir, "customer"), "DumbbellPlot", **given)
 
@@ -318,7 +318,7 @@ def viz_image(spark, sf_dir):
 
 
 @query("""SELECT '<!DOCTYPE html><html lang="en"><body><div class="modal-body"><iframe src="' || url || '" frameborder="0" style="height:100vh; width:100%; border:none;"></iframe></div></body></html>' AS "html-content" FROM pages""")
-def viz_url_page(spark, sf_dir):
+def viz_url(spark, sf_dir):
     return run(spark, "URLVisualizer", table(spark, sf_dir, "pages"), urlContentAttrName="url")
 
 
@@ -327,7 +327,7 @@ _WORD = r"[\p{L}\p{M}\p{Nd}_]"
 
 @query(f"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '{_WORD}[\\p{{L}}\\p{{M}}\\p{{Nd}}_'']+')) AS word FROM documents)
 SELECT word, count(*) AS count FROM w WHERE NOT list_contains(string_split('{" ".join(sorted(charts.CLOUD_STOP))}', ' '), word) GROUP BY word ORDER BY count DESC, word LIMIT 50""")
-def viz_wordcloud_words(spark, sf_dir):
+def viz_wordcloud_topn(spark, sf_dir):
     return _chart(spark, table(spark, sf_dir, "documents"), "WordCloud", textColumn="text", topN=50)
 
 
@@ -336,7 +336,7 @@ _HAS = "regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])({w})([^\\p
 
 @query(f"""SELECT doc_id, coalesce({_HAS.format(w="worthless|worthlessness")} OR {_HAS.format(w="pathetic|pathetical|pathetically")} AND {_HAS.format(w="thing|things")}
 OR {_HAS.format(w="de|des")} AND {_HAS.format(w="la|las")}, false) AS matched FROM documents""")
-def dict_conjunction_stems(spark, sf_dir):
+def dict_conjunction(spark, sf_dir):
     """All words of an entry among those of the text, whatever their endings; SQL names the forms."""
     given = {"Dictionary": "worthless,pathetic things,de la", "Attribute": "text", "result attribute": "matched", "Matching type": "Conjunction"}
     return run(spark, "DictionaryMatcher", table(spark, sf_dir, "documents").select("doc_id", "text"), **given).drop("text")
@@ -368,3 +368,25 @@ def runtime_statistics(spark, sf_dir):
     two.run()
     last = one.statistics().where("operatorId = 'in'").unionAll(two.statistics()).where(f"status = {COMPLETED}")
     return last.select("operatorId", F.col("inputTupleCnt").cast("int").alias("inputTupleCnt"), F.col("outputTupleCnt").cast("int").alias("outputTupleCnt"))
+
+
+@query("SELECT n_nationkey, n_name, 'ValueError: too high' AS error FROM nation WHERE n_nationkey > 21")
+def udf_failures(spark, sf_dir):
+    code = "class Low(RowFunction):\n    def process_tuple(self, tuple_, port):\n        if tuple_['n_nationkey'] > 21:\n            raise ValueError('too high')\n        yield tuple_\n"
+    return make("PythonUDFV2", code=code, skipFailing=True).failures(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+
+
+_SHAPES = {
+    "BarChart": ({"value": "v", "fields": "a"}, "rect", 5), "PieChart": ({"value": "v", "name": "a"}, "circle", 5), "SankeyDiagram": ({"Source Attribute": "a", "Target Attribute": "b", "Value Attribute": "v"}, "path", 5),
+    "NetworkGraph": ({"source": "a", "destination": "b"}, "line", 5), "Dendrogram": ({"xVal": "v", "yVal": "v", "Labels": "a"}, "line", 12), "Scatterplot": ({"xColumn": "v", "yColumn": "a"}, "circle", 5),
+    "IcicleChart": ({"hierarchy": [{"attributeName": "a"}, {"attributeName": "b"}], "value": "v"}, "rect", 10), "HierarchyChart": ({"hierarchy": [{"attributeName": "a"}, {"attributeName": "b"}], "value": "v"}, "rect", 10),
+    "ContourPlot": ({"x": "v", "y": "v", "z": "v", "gridSize": "2"}, "rect", 4), "BoxViolinPlot": ({"value": "v"}, "rect", 1), "TreePlot": ({"Edge List Column": "e"}, "line", 5),
+}
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({k!r}, {n})' for k, (_, _, n) in _SHAPES.items())}) s(kind, shapes)")
+def viz_page(spark, sf_dir):
+    """Pages over the regions: how many shapes each drawing has."""
+    df = table(spark, sf_dir, "region").selectExpr("r_name AS a", "concat('to ', r_name) AS b", "cast(r_regionkey + 1 AS double) AS v", "concat('[\"all\", \"', r_name, '\"]') AS e")
+    counts = {k: run(spark, k, df, **given).first()[0].count(f"<{shape} ") for k, (given, shape, _) in _SHAPES.items()}
+    return spark.createDataFrame(list(counts.items()), "kind string, shapes int")

@@ -43,7 +43,7 @@ class Stored:
 
 
 class Execution:
-    """One run of a workflow in a folder. step() runs the next operator, run() all that are left, start() in the background.
+    """One run of a workflow in a folder (without one: in a folder that goes with the process). step() runs the next operator, run() all that are left, start() in the background.
 
     `state` are values beside the data: an operator that has a method take_state gets those of the operators before it,
     and what its method give_state returns goes on to those behind it. For instance If reads its condition there if

@@ -76,6 +76,13 @@ def test_failures_are_kept_retried_or_skipped(spark):
     assert sums(run.run()["sum"])[1] == sum(v for v in range(5, 20) if v % 3 == 1)
 
 
+def test_failing_rows_are_skipped_and_told(spark):
+    df = spark.range(20).select(F.col("id").alias("v"))
+    own = make("PythonUDFV2", code=BAD, skipFailing=True)
+    assert sorted(r.v for r in own.apply(spark, [[df]])[0].collect()) == [v for v in range(20) if v != 7]
+    assert [tuple(r) for r in own.failures(df).collect()] == [(7, "ValueError: seven")]
+
+
 def test_kill_stops_a_running_operator(spark):
     flow = flow_of(spark)
     flow.add("slow", "Sleep", "some", sleepTime=30)

@@ -23,17 +23,17 @@ def by_spark(spark, name: str, sf: str = SF) -> list[tuple]:
 
 
 def test_every_place_of_a_sort(spark):
-    got = by_spark(spark, "sort_multi_nulls_last_all", LARGER)
-    assert got == by_sql("sort_multi_nulls_last_all", LARGER)
+    got = by_spark(spark, "sort_multi_nulls_last", LARGER)
+    assert got == by_sql("sort_multi_nulls_last", LARGER)
     assert sorted(r[2] for r in got) == list(range(1, catalog.table(spark, LARGER, "orders").count() + 1))
 
 
 def test_interval_joins_of_whole_tables(spark):
-    for name in ("interval_join_ts_hour_all", "interval_join_ts_month_all"):
+    for name in ("interval_join_ts_hour", "interval_join_ts_month"):
         got = by_spark(spark, name)
         assert got == by_sql(name) and got, name
     # Every event lies in its own interval, so all of them are met on the right side.
-    right = {r["event_id#@1"] for r in catalog.QUERIES["interval_join_ts_hour_all"](spark, SF).collect()}
+    right = {r["event_id#@1"] for r in catalog.QUERIES["interval_join_ts_hour"](spark, SF).collect()}
     assert len(right) == catalog.table(spark, SF, "events").count()
 
 
