@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +33,26 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_MADE: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; clean_up() deletes what is there."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+@atexit.register
+def clean_up() -> None:
+    """Deletes all folders of this process's operators. To be called when no result is read any more; else the end of the process does it."""
+    while _MADE:
+        try:
+            files, path = fs.FileSystem.from_uri(_MADE.pop())
+            if files.get_file_info(path).type == fs.FileType.Directory:
+                files.delete_dir(path)
+        except (OSError, ValueError):
+            continue  # a file system that only Spark's readers know, or that is gone
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
