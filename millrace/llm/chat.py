@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import join_with_hot_keys, written
+
 #: How a turn is rendered, around its role and its text.
 OPEN, AFTER_ROLE, CLOSE = "<|", "|>\n", "\n<|end|>\n"
 ASSISTANT = "assistant"
@@ -59,15 +61,16 @@ def pair_up(convs: DataFrame) -> DataFrame:
 
     Conversations begin alike if their first turns are equal. Each is paired with the first (least conv_id)
     that begins as it does; the one with more assistant text is chosen, at a tie the one of smaller conv_id.
-    So a group of n conversations makes n - 1 such pairs, and a hot first turn is a skewed equi-join against
-    one row a group, which adaptive execution splits. The first of its group has nothing to be paired with:
+    So a group of n conversations makes n - 1 such pairs, by an equi-join against one row a group, in which a hot
+    first turn is dealt out (join_with_hot_keys). The first of its group has nothing to be paired with:
     its last reply is chosen against its reply before, said again in that place (an empty one if there is no
     other). It makes no pair if there is no reply at all.
     """
     said = F.expr(f"aggregate(turns, 0L, (n, t) -> n + if(t.role = '{ASSISTANT}', length(t.text), 0))")
-    marked = convs.select("conv_id", "turns", said.alias("said"), F.expr("xxhash64(turns[0].role, turns[0].text)").alias("k1"), F.expr("md5(concat(turns[0].role, '\\n', turns[0].text))").alias("k2"))
-    first = marked.groupBy("k1", "k2").agg(F.min_by(F.struct("conv_id", "turns", "said"), "conv_id").alias("a"))
-    both = marked.join(first, ["k1", "k2"])
+    marked = convs.select("conv_id", "turns", said.alias("said"), F.expr("sha2(concat(length(turns[0].role), ' ', turns[0].role, turns[0].text), 256)").alias("k"))
+    marked = written(marked, "conversations")
+    first = marked.groupBy("k").agg(F.min_by(F.struct("conv_id", "turns", "said"), "conv_id").alias("a"), F.count("*").alias("n"))
+    both = join_with_hot_keys(marked, first, "k", "n", marked.count(), "conv_id")
     wins = F.col("said") > F.col("a.said")
     pick = lambda c, own: F.when(own, F.col(c)).otherwise(F.col(f"a.{c}"))
     pairs = both.where("a.conv_id <> conv_id").select(pick("conv_id", wins).alias("chosen_id"), pick("conv_id", ~wins).alias("rejected_id"), pick("turns", wins).alias("chosen"), pick("turns", ~wins).alias("rejected"))

@@ -82,18 +82,22 @@ def broadcast_if_small(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
 
 
-def join_with_hot_keys(many: DataFrame, one: DataFrame, key: str, rows: str, total: int) -> DataFrame:
+def join_with_hot_keys(many: DataFrame, one: DataFrame, key: str, rows: str, total: int, by: str) -> DataFrame:
     """many joined with one on key; `one` has one row a key and in column `rows` how many rows of `many` (in all: total) have it.
 
-    Rows of hot keys stay where they are: their few rows of `one` are broadcast. All others are shuffled. Both sides are
-    read twice, so they should be written or checkpointed. Up to FEW_ROWS rows this is a plain join, with the same result.
+    Rows of a hot key are dealt out by a hash of their column `by` over as many parts as there are shares of
+    total / HOT_SHARE in them, and its row of `one` goes to each part: at most 2 * HOT_SHARE rows more. Only the hot
+    keys and their numbers of parts are broadcast, HOT_SHARE rows at most. Up to FEW_ROWS rows this is a plain join,
+    with the same result.
     """
     if total <= FEW_ROWS:
         return many.join(one.drop(rows), key)
     hot = (F.col(rows) > HOT_LEAST) & (F.col(rows) * HOT_SHARE > total)
-    some = one.where(hot).drop(rows)
-    rest = many.join(F.broadcast(some.select(key)), key, "left_anti").join(one.where(~hot).drop(rows), key)
-    return many.join(F.broadcast(some), key).unionByName(rest)
+    parts = F.when(hot, F.ceil(F.col(rows) * HOT_SHARE / total).cast("int")).otherwise(F.lit(1))
+    few = one.where(hot).select(key, parts.alias("__mr_parts"))
+    dealt = many.join(F.broadcast(few), key, "left").withColumn("__mr_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("__mr_parts")), F.lit(0)).cast("int")).drop("__mr_parts")
+    copies = one.withColumn("__mr_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(rows)
+    return dealt.join(copies, [key, "__mr_part"]).drop("__mr_part")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[list[np.ndarray]]:

@@ -106,7 +106,7 @@ def _sizes_allow(n: str, m: str) -> str:
 def _to_first(members: DataFrame, total: int) -> DataFrame:
     """u, v: each member of a band and the band's first, as far as sizes and fingerprints allow SIMILARITY."""
     first = members.groupBy("key").agg(F.min(F.struct("node", "n", "fp")).alias("f"), F.count("*").alias("rows"))
-    both = join_with_hot_keys(members, first, "key", "rows", total)
+    both = join_with_hot_keys(members, first, "key", "rows", total, "node")
     return both.where(f"node <> f.node and {_sizes_allow('n', 'f.n')} and bit_count(fp ^ f.fp) <= {DISTANCE}").select(F.col("node").alias("u"), F.col("f.node").alias("v")).distinct()
 
 
@@ -119,7 +119,7 @@ def _cells(labelled: DataFrame, total: int) -> DataFrame:
     counts = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
     bands_of = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"), F.count("*").alias("k")).where("k > 1")
     parts = bands_of.select("key", F.col("top.label").alias("main"), F.col("m").alias("rows"), F.expr(f"if(m <= {GROUP}, 0, cast(ceil(top.c / {GROUP}) as int))").alias("p"), F.expr(f"if(m <= {GROUP}, 0, cast(ceil((m - top.c) / {GROUP}) as int))").alias("q"))
-    placed = join_with_hot_keys(labelled, written(parts, "bands"), "key", "rows", total)
+    placed = join_with_hot_keys(labelled, written(parts, "bands"), "key", "rows", total, "node")
     part = placed.withColumn("part", F.expr("if(p = 0, 0, if(label = main, pmod(xxhash64(node), p), p + pmod(xxhash64(node), q)))"))
     others = "transform(sequence(p, p + q - 1), j -> struct(cast(least(part, j) as long) as i, cast(greatest(part, j) as long) as j))"
     mains = "transform(sequence(0, p - 1), i -> struct(cast(i as long) as i, cast(part as long) as j))"
@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = nodes.join(labels, "node", "left").select("node", "own", "rows", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("own").alias("component_id"))
     found = written(named.join(least, "label").select("node", "component_id", "rows"), "components")
-    return join_with_hot_keys(marked.select("doc_id", "node"), found, "node", "rows", marked.count()).select("doc_id", "component_id")
+    return join_with_hot_keys(marked.select("doc_id", "node"), found, "node", "rows", marked.count(), "doc_id").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

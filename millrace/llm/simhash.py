@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, hot_group: int = HOT_GROUP) -> DataFrame:
     least = of.groupBy("label").agg(F.min("own").alias("component"))
     linked = of.join(least, "label").select("fp", "component")
     named = written(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "own").alias("component_id"), "rows"), "components")
-    return join_with_hot_keys(marked, named, "fp", "rows", marked.count()).select("doc_id", "fp", "component_id")
+    return join_with_hot_keys(marked, named, "fp", "rows", marked.count(), "doc_id").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: str = "fp") -> F.Column:

@@ -5,7 +5,8 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from millrace.llm import chat
+import pytest
+from millrace.llm import chat, common
 from millrace.llm.queries import BYTES, table
 from test_operators_by_brute_force import plain_keys, plain_rules
 from test_shingles import plain_components
@@ -45,7 +46,10 @@ def plain_preferences(turns: list[tuple]) -> dict[tuple, tuple]:
     return out
 
 
-def test_preferences(spark):
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_preferences(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_ROWS", few)
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
     r = random.Random(2)
     turns = [(c, t, ["user", "assistant"][t % 2], r.choice(["hi", "yes", "no\nway", "é漢"])) for c in range(60) for t in range(r.randint(1, 6))]
     turns += [(70, 0, None, None), (71, None, "user", "x"), (71, 1, "assistant", ""), (None, 0, "user", "hi"), (72, 1, "user", "a"), (72, 1, "assistant", "b"), turns[0]]
