@@ -150,13 +150,16 @@ def kernel_svc(p: dict[str, Any]) -> models.Trainer:
     gamma = None if p["gamma"] in ("scale", "auto", "") else float(p["gamma"])
     if p["kernel"] == "linear":
         return models.spark_trainer(lambda n: models.one_vs_rest(models._c(models.C.LinearSVC, regParam=1 / max(float(p["C"]), 1e-9) / 100), n))
+    if p["kernel"] in ("poly", "sigmoid"):
+        svm = lambda n: models.one_vs_rest(models._c(models.C.LinearSVC, regParam=1 / max(float(p["C"]), 1e-9) / 1000, maxIter=30), n)
+        return models.landmark_machine(svm, p["kernel"], gamma, float(p["coef0"]), int(p["degree"]))
     if p["kernel"] != "rbf":
-        raise PropertyError(f"SVCTrainer: kernel {p['kernel']!r} isn't supported; linear and rbf are")
+        raise PropertyError(f"SVCTrainer: no kernel {p['kernel']!r}; there are linear, poly, rbf and sigmoid")
     return models.fourier_svm(float(p["C"]), gamma)
 
 
 def kernel_svr(p: dict[str, Any]) -> models.Trainer:
-    """Huber regression, linear or on random Fourier features: as in support vector regression, large errors count linearly."""
+    """Huber regression, linear or on a kernel's features: as in support vector regression, large errors count linearly."""
 
     def fit(spark, df, classes):
         import numpy as np
@@ -164,8 +167,11 @@ def kernel_svr(p: dict[str, Any]) -> models.Trainer:
         lr = LinearRegression(featuresCol=models.FEATURES, labelCol=models.LABEL, loss="huber", regParam=1 / max(float(p["C"]), 1e-9) / 100, epsilon=max(1.35, 1 + float(p["epsilon"])))
         if p["kernel"] == "linear":
             return "pipeline", {"model": Pipeline(stages=[lr]).fit(df)}, {}
+        gamma = None if p["gamma"] in ("scale", "auto", "") else float(p["gamma"])
+        if p["kernel"] in ("poly", "sigmoid"):
+            return models.landmark_machine(lambda n: lr, p["kernel"], gamma, float(p.get("coef0", 0.0)), int(p.get("degree", 3)))(spark, df, classes)
         if p["kernel"] != "rbf":
-            raise PropertyError(f"SVRTrainer: kernel {p['kernel']!r} isn't supported; linear and rbf are")
+            raise PropertyError(f"SVRTrainer: no kernel {p['kernel']!r}; there are linear, poly, rbf and sigmoid")
         n, variance = models._scale(df)
         g = 1.0 / (n * max(variance, 1e-12)) if p["gamma"] in ("scale", "auto", "") else float(p["gamma"])
         rng = np.random.default_rng(1)

@@ -157,6 +157,40 @@ def _fourier_predict(m: Fitted, spark: SparkSession, df: DataFrame) -> DataFrame
     return _pipeline_predict(m, spark, fourier(df, m.state["w"], m.state["b"]))
 
 
+Trainer = Callable[[SparkSession, DataFrame, int], tuple[str, dict[str, Any], dict[str, Any]]]
+
+#: Training rows that a kernel is measured against where no explicit features are known.
+LANDMARKS = 256
+
+
+def landmarks(df: DataFrame, points: np.ndarray, kernel: str, gamma: float, coef0: float, degree: int) -> DataFrame:
+    """The kernel of each row with some training rows, in place of the features: a polynomial, or a hyperbolic tangent."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(x: pd.Series) -> pd.Series:
+        z = gamma * np.stack(x.to_numpy()) @ points.T + coef0
+        return pd.Series(list(np.tanh(z) if kernel == "sigmoid" else z**degree))
+
+    return df.withColumn("__raw", vector_to_array(FEATURES)).withColumn(FEATURES, array_to_vector(run("__raw")))
+
+
+def _landmarks_predict(m: Fitted, spark: SparkSession, df: DataFrame) -> DataFrame:
+    return _pipeline_predict(m, spark, landmarks(df, **m.state))
+
+
+def landmark_machine(estimator: Callable[[int], Any], kernel: str, gamma: float | None, coef0: float, degree: int) -> Trainer:
+    """A linear machine on the kernel with up to LANDMARKS training rows, those of least hash."""
+
+    def fit(spark, df, classes):
+        some = df.select(vector_to_array(FEATURES).alias("x")).distinct().orderBy(F.xxhash64("x")).limit(LANDMARKS).collect()
+        points = np.array([r["x"] for r in some], dtype=float)
+        n, variance = _scale(df)
+        state = {"points": points, "kernel": kernel, "gamma": 1.0 / (n * max(variance, 1e-12)) if gamma is None else gamma, "coef0": coef0, "degree": degree}
+        return "landmarks", {"model": Pipeline(stages=[estimator(classes)]).fit(landmarks(df, **state))}, state
+
+    return fit
+
+
 PREDICTORS = {
     "pipeline": _pipeline_predict,
     "calibrated": _calibrated_predict,
@@ -166,10 +200,9 @@ PREDICTORS = {
     "neighbours": _neighbours_predict,
     "boost": _boost_predict,
     "fourier": _fourier_predict,
+    "landmarks": _landmarks_predict,
 }
 
-Trainer = Callable[[SparkSession, DataFrame, int], tuple[str, dict[str, Any], dict[str, Any]]]
-
 
 def spark_trainer(make: Callable[[int], Any]) -> Trainer:
     """Fits a Spark ML estimator (or list of stages)."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.ml import models
@@ -67,13 +70,14 @@ def trainer_knn_regressor(spark, sf_dir):
     return _predicted(spark, _trained(spark, "KNNRegressorTrainer", rows, "y", ["size"], n_neighbors=1), rows, "y").select("p_partkey", "prediction")
 
 
-@query(f"SELECT kernel, p_partkey, kind AS prediction FROM ({_KINDS}), (VALUES ('linear'), ('rbf')) k(kernel)")
+@query(f"SELECT kernel, p_partkey, kind AS prediction FROM ({_KINDS}), (VALUES ('linear'), ('rbf'), ('poly'), ('sigmoid')) k(kernel)")
 def trainer_svc(spark, sf_dir):
     """A model for each row of the parameter table."""
+    kernels = ("linear", "rbf", "poly", "sigmoid")
     rows = _parts(spark, sf_dir)
-    found = _trained(spark, "SVCTrainer", rows, "kind", ["a", "b"], spark.createDataFrame([("linear",), ("rbf",)], "kernel string")).persist()
-    parts = [_predicted(spark, found.where(F.col("Parameters") == f"kernel={k}"), rows, "kind").select(F.lit(k).alias("kernel"), "p_partkey", "prediction") for k in ("linear", "rbf")]
-    return parts[0].unionAll(parts[1])
+    found = _trained(spark, "SVCTrainer", rows, "kind", ["a", "b"], spark.createDataFrame([(k,) for k in kernels], "kernel string")).persist()
+    parts = [_predicted(spark, found.where(F.col("Parameters") == f"kernel={k}"), rows, "kind").select(F.lit(k).alias("kernel"), "p_partkey", "prediction") for k in kernels]
+    return reduce(DataFrame.unionAll, parts)
 
 
 @query("SELECT p_partkey, true AS close FROM part")
