@@ -11,6 +11,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from millrace.llm.common import doc_text, text_blocks
 
@@ -198,35 +199,38 @@ def _features(data: list[bytes], pcm: list[bytes]) -> list[str]:
     return [f"mulaw={u} alaw={a} ima={d} power={w} changes={c}" for u, a, d, w, c in zip(*means, power, changes, strict=True)]
 
 
-_DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_crc32 long"
+_DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def digests(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pcm_bytes, pcm_crc32,
-    all from the stored bytes; `media` is to_pcm()."""
+def described(media: DataFrame) -> DataFrame:
+    """Digests and features of the stored bytes (doc_id, n_bytes, media) and, in a column pcm, their PCM as by to_pcm."""
 
-    def rows(ids: list, sizes: list, media: list[bytes], pcm: list[bytes]) -> pa.RecordBatch:
-        data, wide = [read_wav(m)[2] for m in media], [read_wav(p)[2] for p in pcm]
+    def rows(ids: list, sizes: list, media: list[bytes]) -> pa.RecordBatch:
+        data, pcm = [read_wav(m)[2] for m in media], list(map(pcm_wav, media))
         columns = [
             pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(map(len, data), pa.int64()), pa.array([hashlib.sha256(d).hexdigest() for d in data]),
             pa.array([zlib.crc32(d[-BLOCK:]) for d in data], pa.int64()), pa.array(map(len, media), pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]),
-            pa.array(_features(data, wide)), pa.array(map(len, pcm), pa.int64()), pa.array(map(zlib.crc32, pcm), pa.int64()),
+            pa.array(_features(data, [read_wav(p)[2] for p in pcm])), pa.array(pcm, pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in _DIGESTS.split(", ")])
+        return pa.RecordBatch.from_arrays(columns, [*(c.split(" ")[0] for c in _DIGESTS.split(", ")), "pcm"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sizes, held, wide, size = [], [], [], [], 0
-            for i, n, m, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+            ids, sizes, held, size = [], [], [], 0
+            for i, n, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 ids.append(i)
                 sizes.append(n)
                 held.append(m.as_py())
-                wide.append(p.as_py())
                 size += len(held[-1])
-                if size >= 2 << 20:
-                    yield rows(ids, sizes, held, wide)
-                    ids, sizes, held, wide, size = [], [], [], [], 0
+                if size >= 1 << 20:
+                    yield rows(ids, sizes, held)
+                    ids, sizes, held, size = [], [], [], 0
             if ids:
-                yield rows(ids, sizes, held, wide)
+                yield rows(ids, sizes, held)
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"{_DIGESTS}, pcm binary")
 
-    return media.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(run, _DIGESTS)
+
+def digests(media: DataFrame) -> DataFrame:
+    """described() with the PCM column read back as its pcm_bytes and pcm_crc32, in the JVM: it is four times the text."""
+    return described(media).withColumns({"pcm_bytes": F.octet_length("pcm").cast("long"), "pcm_crc32": F.crc32("pcm")}).drop("pcm")
