@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -100,6 +101,14 @@ def join_with_hot_keys(many: DataFrame, one: DataFrame, key: str, rows: str, tot
     return dealt.join(copies, [key, "__mr_part"]).drop("__mr_part")
 
 
+def give_back_memory() -> None:
+    """Free memory that this worker still holds from other tasks goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[list[np.ndarray]]:
     """The columns of a partition that is sorted by its first, a long, in parts of about `least` rows that hold whole groups."""
     held: list[list[np.ndarray]] = []

@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import doc_text
+from millrace.llm.common import doc_text, give_back_memory
 from millrace.llm.tokens import encoder, text_slices
 
 WINDOW = 2048
 #: Sequence ids of one partition start at its number times this.
 IDS_PER_PARTITION = 1 << 36
-#: Bytes of text that are encoded together, and ids that are handed on together.
-TEXT_BYTES, ROW_IDS = 8 << 20, 4 << 20
+#: Bytes of text that are encoded together, and ids that are handed on together: some 30 times as many bytes are held at once.
+TEXT_BYTES, ROW_IDS = 2 << 20, 1 << 19
 
 
 class SquaresPacker:
@@ -138,6 +138,7 @@ def pack_sequences(docs: DataFrame, path: str, end_id: int, window: int = WINDOW
 
 def _packed(docs: DataFrame, path: str, end_id: int, window: int, with_ids: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         tokens, first = encoder(path), TaskContext.get().partitionId() * IDS_PER_PARTITION
         filler = WindowFiller(window)
 
