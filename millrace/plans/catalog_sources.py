@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import tempfile
 import uuid
 import zipfile
+from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyarrow import fs
 from pyspark.sql import functions as F
 
@@ -108,18 +113,46 @@ def export_value(spark, sf_dir):
 # Databases and services -----------------------------------------------------------------------------------------------
 
 
+_LOWER = ("n_nationkey", "n_name", "n_regionkey")
+
+
 def _embedded(spark, sf_dir, kind: str, **properties):
-    """A JDBC source over the nations in the database that comes with Spark."""
-    url, driver = f"jdbc:derby:memory:m{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
-    table(spark, sf_dir, "nation").toDF("N_NATIONKEY", "N_NAME", "N_REGIONKEY").coalesce(1).write.format("jdbc").options(url=url, driver=driver, dbtable="NATION").save()
+    """A JDBC source over the nations in the database that comes with Spark.
+
+    That database lives in one process, so the driver makes it in memory and backs it up into an archive in the shared
+    folder, which every executor may open for reading.
+    """
+    name, driver = f"m{uuid.uuid4().hex}", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    jvm = spark._jvm
+    connect = lambda url: getattr(jvm, driver)().connect(url, jvm.java.util.Properties())
+    made = connect(f"jdbc:derby:memory:{name};create=true")
+    made.setAutoCommit(False)
+    made.createStatement().execute("CREATE TABLE NATION (N_NATIONKEY INTEGER, N_NAME CLOB, N_REGIONKEY INTEGER)")
+    put = made.prepareStatement("INSERT INTO NATION VALUES (?, ?, ?)")
+    for row in table(spark, sf_dir, "nation").select(*_LOWER).toLocalIterator():
+        for place, value in enumerate(row, 1):
+            put.setObject(place, value)
+        put.executeUpdate()
+    made.commit()
+    made.setAutoCommit(True)
+    with tempfile.TemporaryDirectory(prefix="millrace-") as folder:
+        backup = made.prepareStatement("CALL SYSCS_UTIL.SYSCS_BACKUP_DATABASE(?)")
+        backup.setString(1, folder)
+        backup.execute()
+        made.close()
+        with contextlib.suppress(Py4JError):  # dropping always ends by an error that says so
+            connect(f"jdbc:derby:memory:{name};drop=true")
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            for f in sorted(p for p in Path(folder).rglob("*") if p.is_file()):
+                z.write(f, str(f.relative_to(folder)))
+    _, path = fs.FileSystem.from_uri(_put(spark, data.getvalue(), "database.jar"))
+    url = f"jdbc:derby:jar:({path}){name}"
     op = make(kind, host="h", database="d", table="NATION", **properties)
     op.url, op.driver = (lambda: url), driver
     return op
 
 
-_LOWER = ("n_nationkey", "n_name", "n_regionkey")
-
-
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def jdbc_whole(spark, sf_dir):
     return _embedded(spark, sf_dir, "MySQLSource").apply(spark, [])[0].toDF(*_LOWER)
