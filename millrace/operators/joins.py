@@ -75,13 +75,31 @@ class HashJoin(Operator):
 UNITS = {"year": 366 * 86400, "month": 31 * 86400, "day": 86400, "hour": 3600, "minute": 60, "second": 1}
 
 
+#: Cells of an interval: more of them leave fewer pairs to test, for more copies of the right rows.
+CELLS = 4
+#: Rows of one cell that stay together; those of a cell with more are dealt out over parts.
+CELL_ROWS = 10_000
+
+
+def dealt(df: DataFrame, own: DataFrame, other: DataFrame, mine: str, others: str) -> DataFrame:
+    """df with part columns `mine`, drawn by a hash of the row, and `others`, one row for each part of the other side.
+
+    own and other have the number of parts of the cells that have more than one: few enough for a broadcast.
+    """
+    draw = F.pmod(F.xxhash64(*df.columns), F.coalesce("parts", F.lit(1))).cast("int")
+    df = df.join(F.broadcast(own), "cell", "left").withColumn(mine, draw).drop("parts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    return df.join(F.broadcast(other), "cell", "left").withColumn(others, every).drop("parts")
+
+
 @operator("IntervalJoin", "Join")
 class IntervalJoin(Operator):
     """Pairs with left in [right, right + constant]; each bound counts or doesn't. Nulls have no partner.
 
-    Both sides are cut into cells as wide as the interval; a right row goes to the two or three cells that its
-    interval touches, a left row to its own. So it is an equi-join on the cell, with the exact condition beside
-    it, and each pair is found once.
+    Both sides are cut into cells of a quarter of the interval; a right row goes to the cells that its interval
+    touches, a left row to its own. So it is an equi-join on the cell, with the exact condition beside it, and each
+    pair is found once. Rows of a cell that has over CELL_ROWS of a side are dealt out over parts, and each of them
+    meets all parts of the other side: 2 / CELL_ROWS copies a pair. Streams aren't counted, so they aren't dealt out.
     """
 
     inputs = 2
@@ -105,17 +123,27 @@ class IntervalJoin(Operator):
                 raise PropertyError(f"IntervalJoin: no unit {unit!r}")
             x, y = x.cast("timestamp"), y.cast("timestamp")
             end = y + F.make_interval(**{f"{'min' if unit == 'minute' else 'sec' if unit == 'second' else unit}s": F.lit(self.constant)})
-            width = max(abs(self.constant) * UNITS[unit], 1) * 1_000_000
+            width = max(abs(self.constant) * UNITS[unit], 1) * 1_000_000 // CELLS
             place = lambda c: F.floor(F.unix_micros(c) / F.lit(width))
         else:
             wide = "double" if "double" in kinds else "long"
             x, y = x.cast(wide), y.cast(wide)
             end = y + F.lit(self.constant).cast(wide)
-            place = lambda c: F.floor(c / F.lit(max(abs(self.constant), 1)))
-        cells = F.sequence(place(y).cast("long"), F.greatest(place(end), place(y)).cast("long"))
-        spread = b.where(y.isNotNull()).select("*", F.explode(cells).alias("cell"))
-        test = (x >= y if self.includeLeftBound else x > y) & (x <= end if self.includeRightBound else x < end)
-        joined = a.withColumn("cell", place(x).cast("long")).join(spread, "cell").where(test)
+            place = lambda c: F.floor(c / F.lit(max(abs(self.constant) / CELLS, 1)))
+        # What the condition reads is computed once a row, not once a pair.
+        a = a.select("*", x.alias("x")).where(F.col("x").isNotNull()).withColumn("cell", place(F.col("x")).cast("long"))
+        b = b.select("*", y.alias("y"), end.alias("z")).where(F.col("y").isNotNull())
+        cells = F.sequence(place(F.col("y")).cast("long"), F.greatest(place(F.col("z")), place(F.col("y"))).cast("long"))
+        b = b.select("*", F.explode(cells).alias("cell"))
+        on = ["cell"]
+        if not (left.isStreaming or right.isStreaming):
+            parts = [d.groupBy("cell").count().where(F.col("count") > CELL_ROWS).select("cell", F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("parts")) for d in (a, b)]
+            on, n = ["cell", "p", "q"], int(spark.conf.get("spark.sql.shuffle.partitions"))
+            # By a number, as a few MB of rows can make billions of pairs and mustn't be put into a few tasks for their size.
+            a, b = dealt(a, *parts, "p", "q").repartition(n, *on), dealt(b, *reversed(parts), "q", "p").repartition(n, *on)
+        x, y, z = F.col("x"), F.col("y"), F.col("z")
+        test = (x >= y if self.includeLeftBound else x > y) & (x <= z if self.includeRightBound else x < z)
+        joined = a.join(b, on).where(test)
         names = clash_names(left.columns, right.columns)
         return joined.select(*(F.col(f"l{i}").alias(c) for i, c in enumerate(left.columns)), *(F.col(f"r{i}").alias(n) for i, n in enumerate(names)))
 
