@@ -77,19 +77,36 @@ UNITS = {"year": 366 * 86400, "month": 31 * 86400, "day": 86400, "hour": 3600, "
 
 #: Cells of an interval: more of them leave fewer pairs to test, for more copies of the right rows.
 CELLS = 4
+#: 2 ** BLOCK_BITS neighbouring cells are shuffled as one block: more of them leave fewer copies of the right rows to shuffle.
+BLOCK_BITS = 4
 #: Rows of one cell that stay together; those of a cell with more are dealt out over parts.
-CELL_ROWS = 10_000
+CELL_ROWS = 20_000
+#: Pairs to test of one block that stay together, unless they are less than a share of all pairs for each of so many tasks.
+BLOCK_PAIRS, SHARES = 100_000_000, 2
 
 
-def dealt(df: DataFrame, own: DataFrame, other: DataFrame, mine: str, others: str) -> DataFrame:
-    """df with part columns `mine`, drawn by a hash of the row, and `others`, one row for each part of the other side.
+def dealt(df: DataFrame, parts: DataFrame, mine: str, others: str, n: int) -> DataFrame:
+    """df with part columns `mine`, drawn by a hash of the row, and `others`, one row for each part of the other side; and
+    the task, of n, of the block's two parts.
 
-    own and other have the number of parts of the cells that have more than one: few enough for a broadcast.
+    parts has both numbers of parts of the blocks that have more than one: few enough for a broadcast.
     """
-    draw = F.pmod(F.xxhash64(*df.columns), F.coalesce("parts", F.lit(1))).cast("int")
-    df = df.join(F.broadcast(own), "cell", "left").withColumn(mine, draw).drop("parts")
-    every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    return df.join(F.broadcast(other), "cell", "left").withColumn(others, every).drop("parts")
+    draw = F.pmod(F.xxhash64(*df.columns), F.coalesce(f"n_{mine}", F.lit(1))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(f"n_{others}", F.lit(1)) - 1))
+    df = df.join(F.broadcast(parts), "block", "left").withColumn(mine, draw).withColumn(others, every).drop("n_p", "n_q")
+    return df.withColumn("task", F.pmod(F.xxhash64("block", "p", "q"), F.lit(n)).cast("int"))
+
+
+def parts_of(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
+    """block, n_p, n_q: the parts of the left and right rows of blocks that have more than one, given each row's block and cell."""
+    cells = a.groupBy("block", "cell").agg(F.count("*").alias("a")).join(b.groupBy("block", "cell").agg(F.count("*").alias("b")), ["block", "cell"], "full").na.fill(0)
+    blocks = cells.groupBy("block").agg(F.max("a").alias("most_a"), F.max("b").alias("most_b"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("a").cast("double") * F.col("b")).alias("pairs"))
+    share = F.greatest(F.lit(float(BLOCK_PAIRS)), blocks.agg(F.sum("pairs")).scalar() / (n * SHARES))
+    # By both sides, so that each row gets as few copies as will do.
+    blocks = blocks.withColumn("k", F.greatest(F.ceil(F.col("pairs") / share), F.lit(1)))
+    blocks = blocks.withColumn("n_p", F.greatest(F.ceil(F.col("most_a") / CELL_ROWS), F.least("k", F.ceil(F.sqrt(F.col("k") * F.greatest("a", F.lit(1)) / F.greatest("b", F.lit(1)))))))
+    blocks = blocks.withColumn("n_q", F.greatest(F.ceil(F.col("most_b") / CELL_ROWS), F.ceil(F.col("k") / F.col("n_p"))))
+    return blocks.where("n_p > 1 or n_q > 1").select("block", F.col("n_p").cast("int"), F.col("n_q").cast("int"))
 
 
 @operator("IntervalJoin", "Join")
@@ -98,8 +115,9 @@ class IntervalJoin(Operator):
 
     Both sides are cut into cells of a quarter of the interval; a right row goes to the cells that its interval
     touches, a left row to its own. So it is an equi-join on the cell, with the exact condition beside it, and each
-    pair is found once. Rows of a cell that has over CELL_ROWS of a side are dealt out over parts, and each of them
-    meets all parts of the other side: 2 / CELL_ROWS copies a pair. Streams aren't counted, so they aren't dealt out.
+    pair is found once. Blocks of cells are shuffled, to a task by number, so a right row is written once or twice and
+    copied to its cells in the task. Rows of blocks with many rows in a cell, or many pairs, are dealt out over parts,
+    and each of them meets all parts of the other side. Streams aren't counted, so they are shuffled by cells.
     """
 
     inputs = 2
@@ -116,34 +134,39 @@ class IntervalJoin(Operator):
         if not (kinds == {"timestamp"} or kinds <= {"integer", "long", "double"}):
             raise PropertyError(f"IntervalJoin: {lf.name} and {rf.name} can't be compared")
         a, b = numbered(left, "l"), numbered(right, "r")
-        x, y = a[f"l{left.columns.index(lf.name)}"], b[f"r{right.columns.index(rf.name)}"]
+        x, y = F.col(f"l{left.columns.index(lf.name)}"), F.col(f"r{right.columns.index(rf.name)}")
         if kinds == {"timestamp"}:
             unit = (self.timeIntervalType or "day").lower()
             if unit not in UNITS:
                 raise PropertyError(f"IntervalJoin: no unit {unit!r}")
-            x, y = x.cast("timestamp"), y.cast("timestamp")
-            end = y + F.make_interval(**{f"{'min' if unit == 'minute' else 'sec' if unit == 'second' else unit}s": F.lit(self.constant)})
+            wide = "timestamp"
+            end = lambda c: c + F.make_interval(**{f"{'min' if unit == 'minute' else 'sec' if unit == 'second' else unit}s": F.lit(self.constant)})
             width = max(abs(self.constant) * UNITS[unit], 1) * 1_000_000 // CELLS
-            place = lambda c: F.floor(F.unix_micros(c) / F.lit(width))
+            place = lambda c: F.floor(F.unix_micros(c) / F.lit(width)).cast("long")
         else:
             wide = "double" if "double" in kinds else "long"
-            x, y = x.cast(wide), y.cast(wide)
-            end = y + F.lit(self.constant).cast(wide)
-            place = lambda c: F.floor(c / F.lit(max(abs(self.constant) / CELLS, 1)))
+            end = lambda c: c + F.lit(self.constant).cast(wide)
+            place = lambda c: F.floor(c / F.lit(max(abs(self.constant) / CELLS, 1))).cast("long")
+        test = (F.col("x") >= F.col("y") if self.includeLeftBound else F.col("x") > F.col("y")) & (F.col("x") <= F.col("z") if self.includeRightBound else F.col("x") < F.col("z"))
         # What the condition reads is computed once a row, not once a pair.
-        a = a.select("*", x.alias("x")).where(F.col("x").isNotNull()).withColumn("cell", place(F.col("x")).cast("long"))
-        b = b.select("*", y.alias("y"), end.alias("z")).where(F.col("y").isNotNull())
-        cells = F.sequence(place(F.col("y")).cast("long"), F.greatest(place(F.col("z")), place(F.col("y"))).cast("long"))
-        b = b.select("*", F.explode(cells).alias("cell"))
-        on = ["cell"]
-        if not (left.isStreaming or right.isStreaming):
-            parts = [d.groupBy("cell").count().where(F.col("count") > CELL_ROWS).select("cell", F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("parts")) for d in (a, b)]
-            on, n = ["cell", "p", "q"], int(spark.conf.get("spark.sql.shuffle.partitions"))
+        keys_a = lambda df, c: df.withColumn("x", c.cast(wide)).withColumn("cell", place(F.col("x")))
+        keys_b = lambda df, c: df.withColumn("y", c.cast(wide)).withColumn("z", end(F.col("y"))).withColumn("low", place(F.col("y"))).withColumn("high", F.greatest(place(F.col("z")), "low"))
+        own, others = keys_a(a, x).where(F.col("x").isNotNull()), keys_b(b, y).where(F.col("y").isNotNull())
+        cells, on = F.explode(F.sequence("low", "high")), ["cell"]
+        if left.isStreaming or right.isStreaming:
+            others = others.withColumn("cell", cells)
+        else:
             # By a number, as a few MB of rows can make billions of pairs and mustn't be put into a few tasks for their size.
-            a, b = dealt(a, *parts, "p", "q").repartition(n, *on), dealt(b, *reversed(parts), "q", "p").repartition(n, *on)
-        x, y, z = F.col("x"), F.col("y"), F.col("z")
-        test = (x >= y if self.includeLeftBound else x > y) & (x <= z if self.includeRightBound else x < z)
-        joined = a.join(b, on).where(test)
+            n, on = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism), ["cell", "p", "q", "task"]
+            block = lambda c: F.shiftright(c, BLOCK_BITS)
+            parts = parts_of(own.select(block("cell").alias("block"), "cell"), others.select(cells.alias("cell")).select(block("cell").alias("block"), "cell"), n)
+            own = dealt(a.where(x.isNotNull()).withColumn("block", block(place(x.cast(wide)))), parts, "p", "q", n).drop("block")
+            others = dealt(others.withColumn("block", F.explode(F.sequence(block("low"), block("high")))).select("block", *b.columns), parts, "q", "p", n)
+            own, others = keys_a(own.repartitionById(n, "task"), x), keys_b(others.repartitionById(n, "task"), y)
+            first = F.shiftleft("block", BLOCK_BITS)
+            # The task is one of the keys, so neither side is shuffled again by its cells.
+            others = others.withColumn("cell", F.explode(F.sequence(F.greatest("low", first), F.least("high", first + (2**BLOCK_BITS - 1))))).drop("block")
+        joined = own.join(others.drop("low", "high"), on).where(test)
         names = clash_names(left.columns, right.columns)
         return joined.select(*(F.col(f"l{i}").alias(c) for i, c in enumerate(left.columns)), *(F.col(f"r{i}").alias(n) for i, n in enumerate(names)))
 
